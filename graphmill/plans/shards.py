@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A broadcast table of shard bounds may take so many bytes; beyond, the join shuffles.
@@ -36,7 +36,7 @@ def shard_bounds(df: DataFrame, keys: list[str], value: str, rows_per_shard: int
 def bounds_below(value: Column, inclusive: bool = True) -> Column:
     """How many cut points are at or (not ``inclusive``) strictly below ``value``: the shard's number."""
     test = (lambda b: b <= value) if inclusive else (lambda b: b < value)
-    return F.coalesce(F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<bigint>")), test)), F.lit(0))
+    return F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", test)))
 
 
 def lower_bound(shard: Column) -> Column:
@@ -47,3 +47,22 @@ def lower_bound(shard: Column) -> Column:
 def upper_bound(shard: Column) -> Column:
     """First value past a shard; null for the last."""
     return F.get("_bounds", shard)
+
+
+def running_totals(counts: DataFrame, keys: list[str], value: str, weight: str, rows_per_shard: int = 25_000) -> DataFrame:
+    """``counts`` with ``_upto``: the sum of ``weight`` over the key's rows up to this ``value``.
+
+    Each (keys, value) occurs once.  A hot key is summed in ordered shards: their totals are added up
+    first, one row for each shard, and every shard then runs on from what lies before it.
+    """
+    bounds = shard_bounds(counts, keys, value, rows_per_shard)
+    if bounds is None:
+        order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("_upto", F.sum(weight).over(order))
+    placed = counts.join(bounds, keys, "left").withColumn("_shard", bounds_below(F.col(value))).drop("_bounds")
+    sizes = placed.groupBy(*keys, "_shard").agg(F.sum(weight).alias("_size"))
+    ahead = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select(*keys, "_shard", ahead.alias("_ahead")).where("_ahead is not null")
+    order = Window.partitionBy(*keys, "_shard").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.coalesce("_ahead", F.lit(0)) + F.sum(weight).over(order)
+    return placed.join(ahead, [*keys, "_shard"], "left").withColumn("_upto", upto).drop("_shard", "_ahead")

@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what is written there goes when the driver's process ends."""
+    path = os.path.join(shared_dir(spark), "graphmill", f"{label}-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there.
 
@@ -54,9 +61,8 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     task retry, never the table.  They are removed when the driver's process ends.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "graphmill", f"{label}-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, label)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
