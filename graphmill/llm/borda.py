@@ -13,45 +13,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SHARD = 25_000
-#: Bounds of score shards, 16 bytes each at most, are broadcast up to this size.
-BROADCAST_BYTES = 8 << 20
-
+from graphmill.plans.shards import running_totals
 
-def _shards(values: DataFrame, rows_per_shard: int, max_shards: int = 2000) -> DataFrame | None:
-    """``_g, _cuts array<double>`` of the groups that have too many different scores for one task."""
-    counts = values.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    top, hot = counts.agg(F.max("_n"), F.count_if(F.col("_n") > rows_per_shard)).first()
-    if not hot:
-        return None
-    n = min(max_shards, -(-top // rows_per_shard))
-    cuts = values.join(counts.where(F.col("_n") > rows_per_shard).select("_g"), "_g", "left_semi").groupBy("_g")
-    cuts = cuts.agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", [i / n for i in range(1, n)], max(10_000, 10 * n)))).alias("_cuts"))
-    return F.broadcast(cuts) if hot * n * 8 <= BROADCAST_BYTES else cuts
+ROWS_PER_SHARD = 25_000
 
 
 def mean_ranks(scored: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """``_g, _v`` (a score for each item) to ``_g, _v, _rank``: one row per different score of a group.
 
     Ranks rise from the smallest score; equal ones share the mean place.  Scores are counted before
-    they are ordered, and a group with many different scores is ordered in shards whose sizes are
-    added up first, so the size of a group does not matter.
+    they are ordered, and a group with many different scores is ordered in shards, so the size of a
+    group does not matter.
     """
     values = scored.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cuts = _shards(values, rows_per_shard)
-    if cuts is None:
-        order = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = F.sum("_c").over(order)
-    else:
-        number = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda b: b <= F.col("_v")))
-        values = values.join(cuts, "_g", "left").select("_g", "_v", "_c", number.alias("_s"))
-        sizes = values.groupBy("_g", "_s").agg(F.sum("_c").alias("_size"))
-        ahead = F.coalesce(F.sum("_size").over(Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ahead = sizes.select("_g", "_s", ahead.alias("_ahead"))
-        values = values.join(ahead.where("_ahead > 0"), ["_g", "_s"], "left")
-        order = Window.partitionBy("_g", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = F.coalesce("_ahead", F.lit(0)) + F.sum("_c").over(order)
-    return values.select("_g", "_v", (upto - (F.col("_c") - 1) / 2.0).alias("_rank"))
+    placed = running_totals(values, ["_g"], "_v", "_c", rows_per_shard)
+    return placed.select("_g", "_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("_rank"))
 
 
 def borda(scores: list[tuple[DataFrame, Column, Column, Column]], weights: list[float] | None = None, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
