@@ -47,7 +47,7 @@ def boundary_strengths(text: str, starts: list[int]) -> dict[int, int]:
 
 
 def cut_points(n: int, strengths: dict[int, int], room: int, overlap: int = 0) -> list[int]:
-    """Token numbers at which pieces begin; no piece exceeds ``room`` tokens, the first has ``overlap`` at least."""
+    """Token numbers at which pieces begin; no piece exceeds ``room`` tokens, the first has more than ``overlap``."""
     if n <= room:
         return [0]
     order = sorted(strengths)
@@ -59,7 +59,7 @@ def cut_points(n: int, strengths: dict[int, int], room: int, overlap: int = 0) -
             continue
         # The middle half of the span; in it the strongest boundary, of equals the one nearest the middle.
         middle, reach = low + size / 2, max(1, size // 4)
-        least = max(low + 1, overlap)
+        least = max(low, overlap) + 1
         near = order[bisect_left(order, max(least, middle - reach)) : bisect_left(order, min(high, middle + reach + 1))]
         cut = min(near, key=lambda t: (-strengths[t], abs(t - middle), t)) if near else max(least, low + size // 2)
         cuts.append(cut)

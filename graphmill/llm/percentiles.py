@@ -37,17 +37,27 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).groupBy("g", "v").agg(F.sum("c").alias("c"))
 
 
+def _wide(interval_from: str = "lo", interval_to: str = "hi") -> Column:
+    """Length of an interval less one, as a decimal: the whole range of longs fits."""
+    return F.col(interval_to).cast("decimal(20)") - F.col(interval_from).cast("decimal(20)")
+
+
 def _split_ranks(counts: DataFrame, intervals: DataFrame, levels: int) -> DataFrame:
-    """One pass: each interval narrowed to the part, of 2**levels, that holds its rank."""
-    parts = 1 << levels
-    width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(parts)).cast("long")
-    open_ones = intervals.where("lo < hi").withColumn("w", F.greatest(width, F.lit(1)))
+    """One pass: each interval narrowed to the part, of about 2**levels, that holds its rank.
+
+    Parts begin at multiples of their width, which no difference of values can overflow.
+    """
+    width = F.least(F.ceil((_wide() + 1) / F.lit(1 << levels)), F.lit(1 << 62).cast("decimal(20)")).cast("long")
+    open_ones = intervals.withColumn("w", F.greatest(width, F.lit(1)))
     inside = counts.join(open_ones, (counts["g"] == open_ones["_g"]) & (counts["_salt"] == open_ones["_salt"]) & F.col("v").between(F.col("lo"), F.col("hi")))
-    cells = inside.groupBy("_g", "q", "lo", "hi", "w", "rank", F.expr("(v - lo) div w").alias("cell")).agg(F.sum("c").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("_g", "q").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = cells.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    low = F.col("lo") + F.col("cell") * F.col("w")
-    return held.select("_g", "q", low.alias("lo"), F.least("hi", low + F.col("w") - 1).alias("hi"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+    past = F.pmod("v", "w")
+    first = F.greatest("lo", F.try_subtract("v", past))
+    last = F.least("hi", F.try_add("v", F.col("w") - 1 - past))
+    cells = inside.groupBy("_g", "q", "rank", first.alias("lo"), last.alias("hi")).agg(F.sum("c").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("_g", "q").orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.col("upto") - F.col("n")
+    held = cells.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= before))
+    return held.select("_g", "q", "lo", "hi", (F.col("rank") - before).alias("rank"))
 
 
 def bisect_percentiles(counts: DataFrame, percents: list[int], min_rows: int = 1, levels: int = LEVELS, tolerance: int = 0) -> DataFrame:
@@ -66,16 +76,16 @@ def bisect_percentiles(counts: DataFrame, percents: list[int], min_rows: int = 1
     start = start.withColumn("rank", F.least(F.expr("n * q div 100"), F.col("n") - 1))
     intervals = materialise(start, "intervals")
     sizes = intervals.select("_g", "q", "n")
-    done = intervals.where(F.col("hi") - F.col("lo") <= tolerance).drop("n")
-    intervals = intervals.where(F.col("hi") - F.col("lo") > tolerance).drop("n")
+    done = intervals.where(_wide() <= tolerance).drop("n")
+    intervals = intervals.where(_wide() > tolerance).drop("n")
     left = intervals.count()
     while left:
         small = left <= BROADCAST_ROWS
         salted = counts.withColumn("_salt", F.lit(0) if small else F.pmod(F.hash("v"), F.lit(SALTS)))
         spread = intervals.withColumn("_salt", F.lit(0) if small else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         narrowed = materialise(_split_ranks(salted, F.broadcast(spread) if small else spread, levels), "intervals")
-        done = done.unionByName(narrowed.where(F.col("hi") - F.col("lo") <= tolerance))
-        intervals = narrowed.where(F.col("hi") - F.col("lo") > tolerance)
+        done = done.unionByName(narrowed.where(_wide() <= tolerance))
+        intervals = narrowed.where(_wide() > tolerance)
         left = intervals.count()
     return done.join(sizes, ["_g", "q"]).select(F.col("_g").alias("g"), "q", "n", "lo", "hi")
 

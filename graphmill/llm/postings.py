@@ -220,7 +220,8 @@ def _search_list(k: int, min_cosine: float):
                 keep = rank < k
                 out.append((keys[q[i[keep]]], keys[m[j[keep]]], q[i[keep]], m[j[keep]]))
         if not out:
-            return pd.DataFrame({"key": [], "neighbour": [], "cosine": []})
+            none = np.array([], object)
+            return pd.DataFrame({"key": none, "neighbour": none, "cosine": np.array([], float)})
         qi, mi = np.concatenate([o[2] for o in out]), np.concatenate([o[3] for o in out])
         exact = np.concatenate([np.einsum("ij,ij->i", x[qi[a : a + 65536]].astype(np.float64), x[mi[a : a + 65536]].astype(np.float64)) for a in range(0, max(len(qi), 1), 65536)])
         return pd.DataFrame({"key": np.concatenate([o[0] for o in out]), "neighbour": np.concatenate([o[1] for o in out]), "cosine": np.round(exact, 7)})
