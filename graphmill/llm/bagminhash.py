@@ -38,7 +38,8 @@ DEVIATIONS = 3.0
 TILE = 20_000
 #: Identifiers are broadcast up to this many (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
-_BLOCK = 1024
+#: Pairs compared at a time.
+_PAIRS = 1 << 19
 
 
 def _unit(seed: np.ndarray, node: int) -> np.ndarray:
@@ -176,71 +177,63 @@ def _signed(sets: DataFrame, rows: int, bands: int) -> DataFrame:
     return sets.select("class", "total", "elements", "weights").mapInPandas(run, "class long, total long, sketch binary, bands array<long>")
 
 
-def _compare(bucket: tuple, threshold: float, deviations: float, tiles: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """Index pairs of a bucket whose sketches leave the threshold possible; with ``tiles`` only pairs across them."""
-    sketch, total = bucket
-    n_bits = sketch.shape[1] * 64
+def _possible(sketch: np.ndarray, total: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, deviations: float) -> np.ndarray:
+    """Which pairs of rows the sketches and total weights leave at ``threshold`` or above.  ``sketch`` is [words, rows]."""
+    n_bits = len(sketch) * 64
     agree = (1 + threshold) / 2
     most = n_bits * (1 - agree) + deviations * np.sqrt(n_bits * agree * (1 - agree))  # differing bits
-    found = []
-    left, right = tiles if tiles else (np.arange(len(sketch)), np.arange(len(sketch)))
-    for a in range(0, len(left), _BLOCK):
-        i = left[a : a + _BLOCK]
-        for b in range(0 if tiles else a, len(right), _BLOCK):
-            j = right[b : b + _BLOCK]
-            ok = np.bitwise_count(sketch[i, None, 0] ^ sketch[None, j, 0]).astype(np.uint16)
-            for c in range(1, sketch.shape[1]):
-                ok += np.bitwise_count(sketch[i, None, c] ^ sketch[None, j, c])
-            x, y = np.nonzero(ok <= most)
-            keep = i[x] < j[y] if not tiles else i[x] != j[y]
-            x, y = i[x[keep]], j[y[keep]]
-            small, large = np.minimum(total[x], total[y]), np.maximum(total[x], total[y])
-            keep = small >= threshold * large
-            found.append(np.stack([x[keep], y[keep]], 1))
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    differ = np.bitwise_count(sketch[0][i] ^ sketch[0][j]).astype(np.int16)
+    for word in sketch[1:]:
+        differ += np.bitwise_count(word[i] ^ word[j])
+    at = np.flatnonzero(differ <= most)
+    x, y = total[i[at]], total[j[at]]
+    return at[np.minimum(x, y) >= threshold * np.maximum(x, y)]
+
+
+def _runs(starts: np.ndarray, n: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same run, in chunks; in a run across tiles only those of different sides."""
+    ends = np.append(starts[1:], n)
+    partners = np.repeat(ends, ends - starts) - np.arange(n) - 1  # rows after each one in its run
+    upto = np.cumsum(partners)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _PAIRS, "right")))
+        count = partners[first:last]
+        i = np.repeat(np.arange(first, last), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        if side.any():
+            across = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[across], j[across]
+        yield i, j
+        first = last
 
 
 def _bucket_pairs(threshold: float, deviations: float):
     """mapInPandas over rows sorted by ``key, tile``: candidate pairs of classes."""
 
-    def pairs(rows: pd.DataFrame) -> np.ndarray:
-        rows = rows.drop_duplicates(["class", "side"])
-        ids = rows["class"].to_numpy()
-        if len(ids) < 2:
-            return np.empty((0, 2), np.int64)
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1)
-        side = rows["side"].to_numpy()
-        tiles = None if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        at = _compare((sketch, rows["total"].to_numpy()), threshold, deviations, tiles)
-        return np.sort(ids[at], 1)
+    def candidates(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ids, total, side = rows["class"].to_numpy(), rows["total"].to_numpy(), rows["side"].to_numpy()
+        sketch = np.ascontiguousarray(np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1).T)
+        found = [np.empty((0, 2), np.int64)]
+        for i, j in _runs(starts, len(ids), side):
+            at = _possible(sketch, total, i, j, threshold, deviations)
+            pair = np.stack([ids[i[at]], ids[j[at]]], 1)
+            found.append(np.sort(pair[pair[:, 0] != pair[:, 1]], 1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-
-        def flush(rows: pd.DataFrame) -> np.ndarray | None:
-            key, tile = rows["key"].to_numpy(), rows["tile"].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
-            ends = np.append(starts[1:], len(key))
-            found = [pairs(rows.iloc[s:e]) for s, e in zip(starts, ends) if e - s > 1]
-            found = [f for f in found if len(f)]
-            return np.unique(np.concatenate(found), axis=0) if found else None
-
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if not len(held):
                 continue
             key, tile = held["key"].to_numpy(), held["tile"].to_numpy()
-            other = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
-            open_at = int(other[-1]) + 1 if len(other) else 0  # where the bucket begins that the next frame may continue
-            if open_at:
-                found = flush(held.iloc[:open_at])
-                held = held.iloc[open_at:].reset_index(drop=True)
-                if found is not None:
-                    yield pd.DataFrame(found, columns=["a", "b"])
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
+            if len(starts) > 1:  # the next frame may continue the last bucket
+                yield candidates(held.iloc[: starts[-1]], starts[:-1])
+                held = held.iloc[starts[-1] :].reset_index(drop=True)
         if held is not None and len(held):
-            found = flush(held)
-            if found is not None:
-                yield pd.DataFrame(found, columns=["a", "b"])
+            yield candidates(held, np.zeros(1, np.int64))
 
     return run
 
