@@ -56,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
     root.add_argument("--home")
     commands = root.add_subparsers(dest="command")
 
-    def add(name: str, *words: str, **options: object) -> None:
+    def add(name: str, /, *words: str, **options: object) -> None:
         command = commands.add_parser(name)
         for word in words:
             command.add_argument(word)

@@ -131,8 +131,9 @@ class FullTextIndex:
         stats = self.stats.select(one, "*").join(found_in.select(one, "*"), "_one")
         scored = per.join(self.docs.select("doc_id", "tokens"), "doc_id").select(one, "*").join(F.broadcast(stats), "_one")
         rank = F.lit(0.0)
+        counted = dict(_counted(tree, lambda i: F.col(f"tf{i}").isNotNull(), F.lit(True)))
         for i in range(len(phrases)):
-            tf = F.coalesce(f"tf{i}", F.lit(0.0))
+            tf = F.when(counted.get(i, F.lit(False)), F.coalesce(f"tf{i}", F.lit(0.0))).otherwise(0.0)
             idf = F.ln((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
             idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
             rank = rank - idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("tokens") / F.col("mean_tokens")))
@@ -213,3 +214,13 @@ def _holds(tree, phrase) -> Column:
     if name == "not":
         return _holds(left, phrase) & ~_holds(right, phrase)
     return (operator.and_ if name == "and" else operator.or_)(_holds(left, phrase), _holds(right, phrase))
+
+
+def _counted(tree, phrase, when: Column):
+    """(phrase, condition) pairs: a phrase adds to the rank only where its side of every OR holds."""
+    if isinstance(tree, int):
+        yield tree, when
+    elif tree is not None:
+        name, left, right = tree
+        for side in (left, right)[: 1 if name == "not" else 2]:
+            yield from _counted(side, phrase, when & _holds(side, phrase) if name == "or" else when)

@@ -40,7 +40,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 _COVERED = """
 covered AS (
-  SELECT subject, epoch_us(tr_start) AS s, CASE WHEN tr_end IS NULL THEN 9223372036854775807 ELSE epoch_us(tr_end) END AS e
+  SELECT DISTINCT subject, epoch_us(tr_start) AS s, CASE WHEN tr_end IS NULL THEN 9223372036854775807 ELSE epoch_us(tr_end) END AS e
   FROM statement WHERE subject IS NOT NULL AND tr_start IS NOT NULL AND (tr_end IS NULL OR tr_end > tr_start)),
 reach AS (
   SELECT *, max(e) OVER (PARTITION BY subject ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM covered)
@@ -312,19 +312,23 @@ def _count(words: str, phrase: list[str]) -> str:
     return f"len(list_filter(range(1, len({words}) + 1), lambda i: {test}))"
 
 
-def _search_sql(phrases: list[list[str]], holds: str) -> str:
-    """Common tables up to ``m``: catalog, key, content, rank of matches, tf0.. being the weighted counts."""
+def _search_sql(phrases: list[list[str]], holds: str, counted: list[str] | None = None) -> str:
+    """Common tables up to ``m``: catalog, key, content, rank of matches, tf0.. being the weighted counts.
+
+    ``counted`` says when a phrase adds to the rank, where that is not always.
+    """
     tf = ", ".join(f"(10 * {_count('w_key', p)} + {_count('w_data', p)} + 5 * {_count('w_tags', p)} + 3 * {_count('w_synonyms', p)})::DOUBLE AS tf{i}" for i, p in enumerate(phrases))
     df = ", ".join(f"(count(*) FILTER (tf{i} > 0))::DOUBLE AS n{i}" for i in range(len(phrases)))
     idf = "(CASE WHEN ln((n_docs - n{0} + 0.5::DOUBLE) / (n{0} + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_docs - n{0} + 0.5::DOUBLE) / (n{0} + 0.5::DOUBLE)) END)"
-    score = " + ".join(f"{idf.format(i)} * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tokens / mean))" for i in range(len(phrases)))
+    at = lambda i: f"(CASE WHEN {counted[i]} THEN tf{i} ELSE 0 END)" if counted else f"tf{i}"
+    score = " + ".join(f"{idf.format(i)} * {at(i)} * 2.2::DOUBLE / ({at(i)} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tokens / mean))" for i in range(len(phrases)))
     return f"{_DOCS}, f AS (SELECT *, {tf} FROM l), df AS (SELECT {df} FROM f), m AS (SELECT catalog, key, content, -({score}) AS rank FROM f, df, st WHERE {holds})"
 
 
-def search_query(name: str, text: str, phrases: list[list[str]], holds: str, catalog: str | None = None) -> None:
+def search_query(name: str, text: str, phrases: list[list[str]], holds: str, catalog: str | None = None, counted: list[str] | None = None) -> None:
     only = f"WHERE catalog = '{catalog}'" if catalog else ""
 
-    @query(f"WITH {_search_sql(phrases, holds)} SELECT catalog, key, round(rank, 6) AS rank FROM m {only}")
+    @query(f"WITH {_search_sql(phrases, holds, counted)} SELECT catalog, key, round(rank, 6) AS rank FROM m {only}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
         found = searchable(spark, folder, stem=False).full_text().search(text, catalog, limit=None)
         return found.select("catalog", "key", F.round("rank", 6).alias("rank"))
@@ -335,7 +339,7 @@ def search_query(name: str, text: str, phrases: list[list[str]], holds: str, cat
 search_query("search_word", "window", [["window"]], "tf0 > 0")
 search_query("search_and", "the window had", [["the"], ["window"], ["had"]], "tf0 > 0 AND tf1 > 0 AND tf2 > 0")
 search_query("search_phrase", "depends_on window", [["depends", "on"], ["window"]], "tf0 > 0 AND tf1 > 0")
-search_query("search_or_not", "window garden OR bridge NOT user", [["window"], ["garden"], ["bridge"], ["user"]], "(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND NOT tf3 > 0)")
+search_query("search_or_not", "window garden OR bridge NOT user", [["window"], ["garden"], ["bridge"], ["user"]], "(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND NOT tf3 > 0)", counted=["tf0 > 0 AND tf1 > 0"] * 2 + ["NOT tf3 > 0", "false"])
 search_query("search_repeated_word", "window window", [["window"], ["window"]], "tf0 > 0")
 search_query("search_catalog", "window", [["window"]], "tf0 > 0", "statement")
 search_query("search_punctuation", "window? (garden)", [["window"], ["garden"]], "tf0 > 0 AND tf1 > 0")
