@@ -31,7 +31,7 @@ from graphmill.session import materialise
 
 REGISTERS = 256
 #: Registers in a band and bands: a pair at similarity s meets with probability 1 - (1 - s**BAND_ROWS) ** BANDS.
-BAND_ROWS, BANDS = 3, 20
+BAND_ROWS, BANDS = 3, 28
 #: Pairs are dropped before verification where the similarity that the bits suggest is this many deviations too low.
 DEVIATIONS = 3.0
 #: A bucket estimated to hold more classes is compared in tiles of so many, each pair of tiles being one task's work.
