@@ -27,8 +27,11 @@ SAMPLE = 40_000
 LIST_SIZE = 400
 #: Centroids are broadcast: at most so many, of so many numbers.
 MAX_LISTS = 65_536
-STORE, PROBE = 2, 3
-STORE_RATIO, PROBE_RATIO = 1.1, 1.2
+#: Lists a vector is stored in and probes, and how much farther than the nearest these may be.
+STORE, PROBE = 3, 16
+STORE_RATIO, PROBE_RATIO = 1.3, 2.0
+#: The same for neighbours of high cosine only, which share a list or lie in lists next to each other.
+CLOSE = {"store": 2, "probe": 3, "store_ratio": 1.1, "probe_ratio": 1.2}
 LINKS, BEAM, ENTRIES = 24, 16, 64
 #: Tables of repeated directions are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -115,7 +118,7 @@ class CentroidGraph:
         """The nearest centroids of each row of ``x``: numbers and similarities, best first."""
         ids, sims = [], []
         for a in range(0, len(x), 512):
-            i, s = self._beam(x[a : a + 512], beam, hops, expand)
+            i, s = self._beam(x[a : a + 512], max(beam, lists + expand), hops, expand)
             ids.append(i[:, :lists])
             sims.append(s[:, :lists])
         return np.concatenate(ids), np.concatenate(sims)

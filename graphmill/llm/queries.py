@@ -67,13 +67,13 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of keys with cosine of 0.95 or more, one being among the five most similar of the other."""
-    near = postings.similar_vectors(vectors(spark, folder), "key", "embedding", k=5, min_cosine=0.95)
+    near = postings.similar_vectors(vectors(spark, folder), "key", "embedding", k=5, min_cosine=0.95, **postings.CLOSE)
     return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten most similar embeddings of every hundredth embedding, with the settings for recall."""
-    near = postings.similar_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", k=10, queries="cast(key AS bigint) % 100 = 0", list_size=100, store=3, probe=12, store_ratio=1.25, probe_ratio=2.0)
+    """The ten most similar embeddings of every hundredth embedding."""
+    near = postings.similar_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", k=10, queries="cast(key AS bigint) % 100 = 0", list_size=100)
     return near.select(F.col("key").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("neighbour_id"), "cosine", "rank")
 
 

@@ -1,7 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 
-from graphmill.llm.postings import CentroidGraph, balanced_centroids, brute_force, similar_vectors
+from graphmill.llm.postings import CLOSE, CentroidGraph, balanced_centroids, brute_force, similar_vectors
+from graphmill.llm.queries import p5_neighbours
+
+DATA = "/root/testdata/sf0.1"
 
 SCHEMA = "key string, embedding array<float>, direction string, list int"
 
@@ -23,7 +28,7 @@ def table():
 
 def test_recall_over_all_neighbours(spark, table):
     keys = [f"k{i:04d}" for i in range(len(table))]
-    got = similar_vectors(frame(spark, keys, table), "key", "embedding", k=5, list_size=40, probe=6, store=2, probe_ratio=2.0)
+    got = similar_vectors(frame(spark, keys, table), "key", "embedding", k=5, list_size=40)
     found = {(r["key"], r["neighbour"]) for r in got.collect()}
     true = {(keys[i], keys[j]) for i, row in enumerate(brute_force(table, np.arange(len(table)), 5)) for j in row}
     assert len(found & true) >= 0.9 * len(true) and len(found) <= 5 * len(table)
@@ -34,7 +39,7 @@ def test_close_pairs_are_all_found(spark):
     near = x[:100] * 3 + 0.02 * np.random.default_rng(5).normal(size=(100, 16))
     both = np.concatenate([x, near])
     keys = [f"k{i:04d}" for i in range(len(both))]
-    got = similar_vectors(frame(spark, keys, both), "key", "embedding", k=5, min_cosine=0.98, list_size=30)
+    got = similar_vectors(frame(spark, keys, both), "key", "embedding", k=5, min_cosine=0.98, list_size=30, **CLOSE)
     found = {tuple(sorted((r["key"], r["neighbour"]))) for r in got.collect()}
     unit = both / np.linalg.norm(both, axis=1, keepdims=True)
     s = unit @ unit.T
@@ -42,6 +47,16 @@ def test_close_pairs_are_all_found(spark):
     assert found <= true | found and len(found & true) >= 0.99 * len(true)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
+def test_recall_on_embeddings(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows])
+    asked = [i for i, r in enumerate(rows) if r["vec_id"] % 100 == 0]
+    true = {(rows[i]["vec_id"], rows[j]["vec_id"]) for i, near in zip(asked, brute_force(x, np.array(asked), 10)) for j in near}
+    found = {(r["vec_id"], r["neighbour_id"]) for r in p5_neighbours(spark, DATA).collect()}
+    assert len(found & true) >= 0.9 * len(true) and len(found) == len(true)
+
+
 def test_same_directions_ties_and_useless_rows(spark):
     rows = [("a", [1, 0]), ("b", [2, 0]), ("c", [3, 0]), ("d", [0.5, 0]), ("e", [0.98, 0.2]), ("zero", [0, 0]), ("null", None), (None, [1, 0]), ("nan", [float("nan"), 1]), ("a", [1, 0]), ("long", [1, 0, 0])]
     got = similar_vectors(frame(spark, *zip(*rows)), "key", "embedding", k=2, min_cosine=0.9)
