@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -110,11 +112,18 @@ def fold(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in plain if unicodedata.category(c) != "Mn"))
 
 
+def _each_once(words: pd.Series, change: Callable[[str], str]) -> pd.Series:
+    """Apply a function to the different words of a batch."""
+    number, different = pd.factorize(words)
+    changed = np.array([change(w) for w in different] + [None], object)
+    return pd.Series(changed[number])
+
+
 @pandas_udf(StringType())
 def fold_column(words: pd.Series) -> pd.Series:
-    return words.map(fold, na_action="ignore")
+    return _each_once(words, fold)
 
 
 @pandas_udf(StringType())
 def stem_column(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: porter(fold(w)), na_action="ignore")
+    return _each_once(words, lambda w: porter(fold(w)))

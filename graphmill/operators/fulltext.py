@@ -1,8 +1,8 @@
 """Ranked full-text search: an inverted index as DataFrames, boolean queries, weighted BM25.
 
-The index has three tables: ``postings`` (term, doc_id, column, position), ``docs`` (doc_id,
-catalog, key, content, tokens) and one row of corpus statistics.  Terms are folded and, if asked,
-stemmed over the distinct vocabulary only.  A query touches the postings of its own terms.
+The index has three tables: ``postings`` (term, doc_id, tokens, column, position; ``tokens`` is the
+document's length), ``docs`` (doc_id, catalog, key, content) and one row of corpus statistics.  Terms
+are folded and, if asked, stemmed once for each different word of a batch.  A query touches the postings of its own terms.
 """
 
 from __future__ import annotations
@@ -68,6 +68,7 @@ class FullTextIndex:
     stats: DataFrame
     stem: bool
     weights: dict[str, float]
+    buckets: int | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, stem: bool = True, texts: dict[str, Column] | None = None, weights: dict[str, float] | None = None) -> FullTextIndex:
@@ -79,13 +80,12 @@ class FullTextIndex:
         texts = texts or fields(F.col("key"), F.col("content"))
         doc_id = F.xxhash64("catalog", "key").alias("doc_id")
         tokens = F.array(*[F.struct(F.lit(n).alias("column"), F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1)).alias("words")) for n, t in texts.items()])
-        cut = docs.select(doc_id, "catalog", "key", "content", tokens.alias("texts"))
-        raw = cut.select("doc_id", F.inline("texts")).select("doc_id", "column", F.posexplode("words").alias("position", "raw"))
-        vocabulary = raw.select("raw").distinct().withColumn("term", (stem_column if stem else fold_column)("raw"))
-        postings = raw.join(vocabulary, "raw").select("term", "doc_id", "column", "position")
         size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.size(t["words"]))
-        listed = cut.select("doc_id", "catalog", "key", "content", size.alias("tokens"))
-        stats = listed.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("tokens").alias("mean_tokens"))
+        cut = docs.select(doc_id, tokens.alias("texts")).select("doc_id", "texts", size.alias("tokens"))
+        raw = cut.select("doc_id", "tokens", F.inline("texts")).select("doc_id", "tokens", "column", F.posexplode("words").alias("position", "raw"))
+        postings = raw.withColumn("term", (stem_column if stem else fold_column)("raw")).select("term", "doc_id", "tokens", "column", "position")
+        listed = docs.select(doc_id, "catalog", "key", "content")
+        stats = cut.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("tokens").alias("mean_tokens"))
         return cls(postings, listed, stats, stem, weights or WEIGHTS)
 
     def save(self, path: str, buckets: int = 64, spread: int = 8) -> FullTextIndex:
@@ -94,12 +94,13 @@ class FullTextIndex:
         # A frequent word's postings are spread over partitions by document, within which they lie in order.
         bucketed.repartition(F.col("bucket"), F.pmod(F.hash("doc_id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, "postings"))
         self.docs.write.mode("overwrite").parquet(os.path.join(path, "docs"))
-        self.stats.write.mode("overwrite").parquet(os.path.join(path, "stats"))
+        self.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(os.path.join(path, "stats"))
         return FullTextIndex.load(self.docs.sparkSession, path, self.stem, self.weights)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, weights: dict[str, float] | None = None) -> FullTextIndex:
-        return cls(*[spark.read.parquet(os.path.join(path, part)) for part in ("postings", "docs", "stats")], stem, weights or WEIGHTS)
+        postings, docs, stats = (spark.read.parquet(os.path.join(path, part)) for part in ("postings", "docs", "stats"))
+        return cls(postings, docs, stats, stem, weights or WEIGHTS, stats.first()["buckets"])
 
     def terms(self, word: str) -> list[str]:
         found = [fold(t) for t in re.findall(r"[^\W_]+", _keep_marks(word.lower()))]
@@ -112,24 +113,26 @@ class FullTextIndex:
         """
         tree, phrases = parse_search(text, self.terms)
         ranked = self._ranked(tree, phrases)
-        found = ranked.join(self.docs, "doc_id")
-        if catalog is not None:
-            found = found.where(F.col("catalog") == catalog)
-        found = found.select(F.col("doc_id").alias("id"), "catalog", "key", "content", "rank")
-        return found if limit is None else found.orderBy("rank", "catalog", "key").offset(offset).limit(limit)
+        only = self.docs if catalog is None else self.docs.where(F.col("catalog") == catalog)
+        if limit is not None:  # contents are fetched for the page only
+            ranked = ranked.join(only.select("doc_id", "catalog", "key"), "doc_id").orderBy("rank", "catalog", "key").offset(offset).limit(limit).select("doc_id", "rank")
+        found = ranked.join(only, "doc_id").select(F.col("doc_id").alias("id"), "catalog", "key", "content", "rank")
+        return found if limit is None else found.orderBy("rank", "catalog", "key")
 
     def _ranked(self, tree, phrases: list[tuple[str, ...]]) -> DataFrame:
         wanted = sorted({t for p in phrases for t in p})
         if not wanted:
             return self.docs.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("rank"))
-        rows = self.postings.where(F.col("term").isin(wanted)).select("term", "doc_id", "column", "position")
+        rows = self.postings.where(F.col("term").isin(wanted))
+        if self.buckets:  # folded to numbers by the optimiser: only their folders are read
+            rows = rows.where(F.col("bucket").isin([F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in wanted]))
         weight = reduce(lambda c, kv: c.when(F.col("column") == kv[0], F.lit(kv[1])), self.weights.items(), F.when(F.lit(False), 0.0))
-        hits = reduce(DataFrame.unionByName, [self._phrase(rows, p).select("doc_id", F.lit(i).alias("phrase"), weight.alias("w")) for i, p in enumerate(phrases)])
-        per = hits.groupBy("doc_id").agg(*[F.sum(F.when(F.col("phrase") == i, F.col("w"))).alias(f"tf{i}") for i in range(len(phrases))])
+        hits = reduce(DataFrame.unionByName, [self._phrase(rows, p).select("doc_id", "tokens", F.lit(i).alias("phrase"), weight.alias("w")) for i, p in enumerate(phrases)])
+        per = hits.groupBy("doc_id", "tokens").agg(*[F.sum(F.when(F.col("phrase") == i, F.col("w"))).alias(f"tf{i}") for i in range(len(phrases))])
         found_in = per.agg(*[F.count(f"tf{i}").cast("double").alias(f"n{i}") for i in range(len(phrases))])
         one = F.lit(1).alias("_one")
         stats = self.stats.select(one, "*").join(found_in.select(one, "*"), "_one")
-        scored = per.join(self.docs.select("doc_id", "tokens"), "doc_id").select(one, "*").join(F.broadcast(stats), "_one")
+        scored = per.select(one, "*").join(F.broadcast(stats), "_one")
         rank = F.lit(0.0)
         counted = dict(_counted(tree, lambda i: F.col(f"tf{i}").isNotNull(), F.lit(True)))
         for i in range(len(phrases)):
@@ -143,7 +146,7 @@ class FullTextIndex:
     @staticmethod
     def _phrase(rows: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
         """Every place where the words of a phrase follow each other."""
-        found = rows.where(F.col("term") == phrase[0]).select("doc_id", "column", "position")
+        found = rows.where(F.col("term") == phrase[0]).select("doc_id", "tokens", "column", "position")
         for step, term in enumerate(phrase[1:], 1):
             later = rows.where(F.col("term") == term).select("doc_id", "column", (F.col("position") - step).alias("position"))
             found = found.join(later, ["doc_id", "column", "position"], "left_semi")
