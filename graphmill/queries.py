@@ -14,7 +14,7 @@ from graphmill.operators.fulltext import FullTextIndex, fields, knowledge_docs,
 from graphmill.operators.graph import k_hop, reachable
 from graphmill.operators.intervals import interval_gaps, merge_intervals
 from graphmill.plans.execute import Tables, execute, nearest, similar
-from graphmill.session import scratch_folder
+from graphmill.session import materialise, scratch_folder
 from graphmill.sources.store import latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,7 +227,7 @@ def trade_graph(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH RECURSIVE {EDGES}, {_walk(4, 'Customer#000000007', None, 'g')} SELECT triple, hops, subject, predicate, object FROM w JOIN g USING (triple)")
 def khop_trade(spark: SparkSession, folder: str) -> DataFrame:
     """What can be reached from a customer in four steps: orders, parts, suppliers, nations."""
-    return reachable(trade_graph(spark, folder), "Customer#000000007", None, 4)
+    return reachable(materialise(trade_graph(spark, folder), "graph"), "Customer#000000007", None, 4)
 
 
 # vectors

@@ -24,6 +24,7 @@ from graphmill.functions.vectors import vector_literal
 from graphmill.operators.fulltext import FullTextIndex, knowledge_docs, statement_docs
 from graphmill.plans.compile import KEY
 from graphmill.plans.execute import Tables, execute, similar
+from graphmill.session import ship_package
 
 COLUMNS = {
     "knowledge": "name string, content string, created_at timestamp_ntz, embedding array<float>",
@@ -47,6 +48,7 @@ class Shelf:
     """One folder of tables.  ``embedder`` turns text into vectors, where there is one."""
 
     def __init__(self, spark: SparkSession, path: str | os.PathLike, name: str | None = None, embedder=None):
+        ship_package(spark)
         self.spark, self.path, self.embedder = spark, Path(path), embedder
         self.name = name or self.path.name or "default"
         (self.path / "archives").mkdir(parents=True, exist_ok=True)

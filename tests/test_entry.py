@@ -39,7 +39,7 @@ def test_same_as_sql(spark, db, name):
 
 
 def test_entry_and_names(spark):
-    assert entry.entry(spark).columns == ["subject", "gap_start_us", "gap_end_us"]
+    assert entry.entry(spark).columns == ["name", "content", "created_at"]
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
