@@ -31,7 +31,7 @@ MAX_LISTS = 65_536
 STORE, PROBE = 3, 16
 STORE_RATIO, PROBE_RATIO = 1.3, 2.0
 #: The same for neighbours of high cosine only, which share a list or lie in lists next to each other.
-CLOSE = {"store": 2, "probe": 3, "store_ratio": 1.1, "probe_ratio": 1.2}
+CLOSE = {"store": 2, "probe": 6, "store_ratio": 1.1, "probe_ratio": 1.4}
 LINKS, BEAM, ENTRIES = 24, 16, 64
 #: Tables of repeated directions are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
