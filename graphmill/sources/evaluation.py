@@ -24,7 +24,7 @@ def dialogues(spark: SparkSession, path: str) -> DataFrame:
     schema = "sample_id string, conversation map<string,string>, session_summary map<string,string>, event_summary map<string,string>, observation map<string,string>"
     raw = spark.read.schema(schema).option("multiLine", True).option("prefersDecimal", False).json(path)
     sessions = raw.select("*", F.explode("conversation").alias("key", "turns_text")).where(F.col("key").rlike("^session_[0-9]+$"))
-    number = F.regexp_extract("key", "([0-9]+)$", 1).cast("int").cast("string")
+    number = F.regexp_extract("key", "([0-9]+)$", 1).try_cast("int").cast("string")
     sessions = sessions.select("*", number.alias("number")).withColumn("session", F.concat(F.lit("session_"), "number"))
     sid, session = F.col("sample_id"), F.col("session")
     date = F.coalesce(F.try_element_at("conversation", F.concat(session, F.lit("_date_time"))), F.lit("unknown date"))
