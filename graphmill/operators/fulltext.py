@@ -10,6 +10,7 @@ from __future__ import annotations
 import operator
 import os
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -155,8 +156,6 @@ class FullTextIndex:
 
 def _keep_marks(word: str) -> str:
     """Compose letters with their marks, so that marks do not split a word."""
-    import unicodedata
-
     return unicodedata.normalize("NFC", word)
 
 
