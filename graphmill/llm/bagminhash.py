@@ -24,7 +24,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphmill.llm.words import data_of, hash32, mix64, words
 from graphmill.session import materialise
@@ -37,7 +36,7 @@ DEVIATIONS = 3.0
 #: A bucket estimated to hold more classes is compared in tiles of so many, each pair of tiles being one task's work.
 TILE = 20_000
 #: Identifiers are broadcast up to this many (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 #: Pairs compared at a time.
 _PAIRS = 1 << 19
 
