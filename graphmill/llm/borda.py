@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.plans.shards import running_totals
+from graphmill.session import materialise
 
 ROWS_PER_SHARD = 25_000
 
@@ -48,6 +49,7 @@ def borda(scores: list[tuple[DataFrame, Column, Column, Column]], weights: list[
         rows = table.select(group.cast("string").alias("_g"), item.cast("string").alias("_item"), F.when(~F.isnan(value), value + F.lit(0.0)).alias("_v"))
         long.append(rows.where(F.col("_g").isNotNull() & F.col("_item").isNotNull()).select("_g", "_item", *[(F.col("_v") if i == j else F.lit(None).cast("double")).alias(f"_v{j}") for j in range(len(scores))]))
     items = reduce(DataFrame.unionByName, long).groupBy("_g", "_item").agg(*[F.min(f"_v{j}").alias(f"_v{j}") for j in range(len(scores))])
+    items = materialise(items, "items")  # read by the sizes, every score's ranks and the sum
     sizes = items.groupBy("_g").agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.count(f"_v{j}").alias(f"_n{j}") for j in range(len(scores))])
     points, found = F.lit(0.0), F.lit(0)
     ranked = items.join(sizes, "_g")
