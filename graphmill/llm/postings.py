@@ -2,8 +2,9 @@
 
 Vectors of the same direction form one class; a class is indexed once.  A bounded sample is split
 again and again into a few clusters until each holds no more than its share of a list, which gives
-centroids of balanced lists.  The centroids form a graph, each linked to its nearest ones, that
-every Python worker keeps in memory and searches by beam for all vectors of a batch at a time.  A
+centroids of balanced lists.  Every Python worker keeps them in memory and compares each vector
+with all of them, which loses no list; only beyond ``EXACT_LISTS`` they are searched by beam through
+a graph that links each to its nearest ones, until no centroid of the beam is left to expand.  A
 vector is stored in its nearest list and, when it lies near a boundary, in further lists whose
 centroids are at most ``store_ratio`` times as far as the nearest; it probes lists up to
 ``probe_ratio`` times as far.  Lists are then compared within themselves.
@@ -32,7 +33,11 @@ STORE, PROBE = 3, 16
 STORE_RATIO, PROBE_RATIO = 1.3, 2.0
 #: The same for neighbours of high cosine only, which share a list or lie in lists next to each other.
 CLOSE = {"store": 2, "probe": 6, "store_ratio": 1.1, "probe_ratio": 1.4}
-LINKS, BEAM, ENTRIES = 24, 16, 64
+#: Up to so many lists, more than ``SAMPLE`` gives, a vector is compared with every centroid: there that is cheaper than a beam as well.
+EXACT_LISTS = 32_768
+LINKS, BEAM, EXPAND, ENTRIES = 24, 128, 32, 64
+#: Similarities to centroids that are held at a time.
+_CELLS = 1 << 22
 #: Tables of repeated directions are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 _BLOCK = 2048
@@ -106,24 +111,38 @@ class CentroidGraph:
     @classmethod
     def build(cls, centroids: np.ndarray, links: int = LINKS, entries: int = ENTRIES) -> CentroidGraph:
         n = len(centroids)
+        if n <= EXACT_LISTS:
+            return cls(centroids, np.empty((n, 0), np.int32), np.arange(n, dtype=np.int32))
         near = np.empty((n, min(links, max(n - 1, 1))), np.int32)
         for a in range(0, n, 1024):
             s = centroids[a : a + 1024] @ centroids.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -2 if n > 1 else 1
             near[a : a + 1024] = np.argpartition(-s, near.shape[1] - 1, axis=1)[:, : near.shape[1]] if n > 1 else 0
-        # Links that lead back keep every centroid within reach; every few centroids are entries.
-        return cls(centroids, near, np.unique(np.linspace(0, n - 1, min(n, max(entries, int(n**0.5)))).astype(np.int32)))
+        # Every fourth centroid is an entry, so that a search begins close to its end.
+        return cls(centroids, near, np.unique(np.linspace(0, n - 1, min(n, max(entries, n // 4))).astype(np.int32)))
 
-    def search(self, x: np.ndarray, lists: int, beam: int = BEAM, hops: int = 4, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, lists: int, beam: int = BEAM, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each row of ``x``: numbers and similarities, best first."""
+        exact = len(self.entries) == len(self.centroids)
+        block = max(1, min(512, _CELLS // len(self.entries)))
         ids, sims = [], []
-        for a in range(0, len(x), 512):
-            i, s = self._beam(x[a : a + 512], max(beam, lists + expand), hops, expand)
+        for a in range(0, len(x), block):
+            q = x[a : a + block]
+            i, s = self._all(q, lists) if exact else self._beam(q, max(beam, 2 * lists), expand)
             ids.append(i[:, :lists])
             sims.append(s[:, :lists])
         return np.concatenate(ids), np.concatenate(sims)
 
-    def _beam(self, q: np.ndarray, beam: int, hops: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    def _all(self, q: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+        s = q @ self.centroids.T
+        n = s.shape[1]
+        width = min(lists, n)
+        ids = np.argpartition(s, n - width, axis=1)[:, n - width :].astype(np.int32)
+        sims = np.take_along_axis(s, ids, 1)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+    def _beam(self, q: np.ndarray, beam: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.centroids)
         beam = min(beam, n)
         first = q @ self.centroids[self.entries].T
@@ -133,7 +152,7 @@ class CentroidGraph:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         seen = np.zeros(ids.shape, bool)
-        for _ in range(hops):
+        while True:
             # The best of the beam that have not been expanded.
             pick = np.argsort(np.where(seen, 2.0, -sims), axis=1, kind="stable")[:, : min(expand, ids.shape[1])]
             if np.take_along_axis(seen, pick, 1).all():
@@ -148,7 +167,8 @@ class CentroidGraph:
             # Of a centroid reached more than once the expanded entry stays.
             by_id = np.argsort(ids * 2 + ~seen, axis=1, kind="stable")
             ids, sims, seen = (np.take_along_axis(v, by_id, 1) for v in (ids, sims, seen))
-            sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -3
+            again = ids[:, 1:] == ids[:, :-1]
+            sims[:, 1:][again], seen[:, 1:][again] = -3, True
             best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
             ids, sims, seen = (np.take_along_axis(v, best, 1) for v in (ids, sims, seen))
         return ids, sims

@@ -3,6 +3,7 @@ import os
 import numpy as np
 import pytest
 
+from graphmill.llm import postings
 from graphmill.llm.postings import CLOSE, CentroidGraph, balanced_centroids, brute_force, similar_vectors
 from graphmill.llm.queries import p5_neighbours
 
@@ -85,3 +86,25 @@ def test_graph_search_finds_the_nearest_centroid():
     assert (ids[:, 0] == (x[:500] @ centroids.T).argmax(1)).mean() > 0.9
     assert (np.diff(sims, axis=1) <= 0).all() and all(len(set(r)) == 3 for r in ids)
     assert len(centroids) >= 4000 / 5
+
+
+def unit(n, d, seed):
+    x = np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_many_lists_lose_no_centroid():
+    """The search for lists must not depend on how many there are."""
+    x, centroids = unit(400, 48, 4), unit(5000, 48, 5)
+    ids, sims = CentroidGraph.build(centroids).search(x, 6)
+    s = x @ centroids.T
+    assert np.array_equal(np.sort(ids, axis=1), np.sort(np.argsort(-s, axis=1)[:, :6], axis=1)) and (np.diff(sims, axis=1) <= 0).all()
+
+
+def test_beam_ends_when_all_are_expanded(monkeypatch):
+    monkeypatch.setattr(postings, "EXACT_LISTS", 100)
+    x, centroids = unit(300, 24, 6), unit(3000, 24, 7)
+    graph = CentroidGraph.build(centroids)
+    ids, _ = graph.search(x, 6)
+    best = np.argsort(-(x @ centroids.T), axis=1)[:, :6]
+    assert len(graph.entries) < 3000 and np.mean([len(set(a) & set(b)) / 6 for a, b in zip(ids, best)]) > 0.97
