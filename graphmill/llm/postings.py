@@ -31,6 +31,8 @@ MAX_LISTS = 65_536
 #: Lists a vector is stored in and probes, and how much farther than the nearest these may be.
 STORE, PROBE = 3, 16
 STORE_RATIO, PROBE_RATIO = 1.3, 2.0
+#: Probes at any distance grow as this times the lists to this power, which held the recall in measurements.
+PROBE_SHARE, PROBE_POWER = 0.46, 0.75
 #: The same for neighbours of high cosine only, which share a list or lie in lists next to each other.
 CLOSE = {"store": 2, "probe": 6, "store_ratio": 1.1, "probe_ratio": 1.4}
 #: Up to so many lists, more than ``SAMPLE`` gives, a vector is compared with every centroid: there that is cheaper than a beam as well.
@@ -191,6 +193,11 @@ def _graph(vectors: DataFrame, list_size: int, sample: int) -> CentroidGraph | N
     return CentroidGraph.build(balanced_centroids(x, leaf))
 
 
+def probes_for(lists: int) -> int:
+    """Lists to probe for neighbours at any distance, of so many lists."""
+    return max(PROBE, round(PROBE_SHARE * lists**PROBE_POWER))
+
+
 ENTRY = "list int, key string, vec binary, stored boolean, asks boolean"
 
 
@@ -202,15 +209,23 @@ def _assign(shared, store: int, probe: int, store_ratio: float, probe_ratio: flo
             frame = frame[frame["vec"].map(len) == size] if len(frame) else frame
             if not len(frame):
                 continue
-            x = np.frombuffer(b"".join(frame["vec"]), np.float32).reshape(len(frame), -1)
-            ids, sims = graph.search(x, max(store, probe))
-            far = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
-            ratio = far / far[:, :1]
-            place = np.arange(ids.shape[1])
-            stored = (ratio <= store_ratio) & (place < store)
-            asks = (ratio <= probe_ratio) & (place < probe) & frame["asks"].to_numpy(bool)[:, None]
-            row, col = np.nonzero(stored | asks)
-            yield pd.DataFrame({"list": ids[row, col].astype(np.int32), "key": frame["key"].to_numpy()[row], "vec": frame["vec"].to_numpy()[row], "stored": stored[row, col], "asks": asks[row, col]})
+            asking = frame["asks"].to_numpy(bool)
+            # Rows that do not ask need their own lists only; many probes go out in small parts.
+            for part, lists in ((frame[~asking], store), (frame[asking], max(store, probe))):
+                step = max(1, _CELLS // 16 // lists)
+                for a in range(0, len(part), step):
+                    yield entries(graph, part.iloc[a : a + step], lists)
+
+    def entries(graph: CentroidGraph, frame: pd.DataFrame, lists: int) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(frame["vec"]), np.float32).reshape(len(frame), -1)
+        ids, sims = graph.search(x, lists)
+        far = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
+        ratio = far / far[:, :1]
+        place = np.arange(ids.shape[1])
+        stored = (ratio <= store_ratio) & (place < store)
+        asks = (ratio <= probe_ratio) & (place < probe) & frame["asks"].to_numpy(bool)[:, None]
+        row, col = np.nonzero(stored | asks)
+        return pd.DataFrame({"list": ids[row, col].astype(np.int32), "key": frame["key"].to_numpy()[row], "vec": frame["vec"].to_numpy()[row], "stored": stored[row, col], "asks": asks[row, col]})
 
     return run
 
@@ -269,7 +284,7 @@ def similar_vectors(
     list_size: int = LIST_SIZE,
     sample: int = SAMPLE,
     store: int = STORE,
-    probe: int = PROBE,
+    probe: int | None = None,
     store_ratio: float = STORE_RATIO,
     probe_ratio: float = PROBE_RATIO,
 ) -> DataFrame:
@@ -278,7 +293,7 @@ def similar_vectors(
     ``queries`` is a condition on ``key`` that limits which rows ask; all are searched.  Keys of the
     same direction have cosine 1 and rank before all others, the smaller key first.  Copies of a key
     count once.  Null and all-zero vectors take no part; vectors of another length than most are
-    left out.  An empty table gives no row.  Recall depends on the probes and is measured in the tests.
+    left out.  An empty table gives no row.  Without ``probe`` the probes grow with the lists (:func:`probes_for`).  Recall depends on the probes and is measured in the tests.
     """
     spark = df.sparkSession
     vectors = unit_vectors(df, key, vector)
@@ -301,6 +316,7 @@ def similar_vectors(
     graph = _graph(indexed, list_size, sample)
     if graph is None:
         return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
+    probe = probe or probes_for(len(graph.centroids))
     entries = indexed.select("key", "vec", "asks").mapInPandas(_assign(spark.sparkContext.broadcast(graph), store, probe, store_ratio, probe_ratio), ENTRY)
     near = entries.groupBy("list").applyInPandas(_search_list(k, min_cosine), "key string, neighbour string, cosine double")
     near = _top(near.where(F.col("cosine") >= min_cosine), k).select("key", "neighbour", "cosine")

@@ -77,6 +77,16 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("key").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("neighbour_id"), "cosine", "rank")
 
 
+def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar keys of both tables, at any distance, of a hundredth of the keys."""
+    return postings.similar_vectors(vectors(spark, folder), "key", "embedding", k=5, queries="pmod(xxhash64(key), 100) = 0")
+
+
+def p5_nearest_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar keys of both tables, at any distance, of every key."""
+    return postings.similar_vectors(vectors(spark, folder), "key", "embedding", k=5)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of latencies whose 90th percentile exceeds 8 times the median."""
     counts = percentiles.materialise(percentiles.latency_counts(table(spark, folder, "eval_result")), "counts")
@@ -123,7 +133,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p2_found p2_near_duplicates p3_found p3_pieces p4_found p4_ranking p5_found p5_neighbours p6_found p6_percentiles p7_sequences p8_found p8_passages p9_found p9_levels"
+    names = "p2_found p2_near_duplicates p3_found p3_pieces p4_found p4_ranking p5_found p5_neighbours p5_nearest p5_nearest_all p6_found p6_percentiles p7_sequences p8_found p8_passages p9_found p9_levels"
     return {name: globals()[name] for name in names.split()}
 
 

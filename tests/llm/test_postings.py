@@ -5,7 +5,7 @@ import pytest
 
 from graphmill.llm import postings
 from graphmill.llm.postings import CLOSE, CentroidGraph, balanced_centroids, brute_force, similar_vectors
-from graphmill.llm.queries import p5_neighbours
+from graphmill.llm.queries import p5_nearest, p5_nearest_all, p5_neighbours
 
 DATA = "/root/testdata/sf0.1"
 
@@ -108,3 +108,19 @@ def test_beam_ends_when_all_are_expanded(monkeypatch):
     ids, _ = graph.search(x, 6)
     best = np.argsort(-(x @ centroids.T), axis=1)[:, :6]
     assert len(graph.entries) < 3000 and np.mean([len(set(a) & set(b)) / 6 for a, b in zip(ids, best)]) > 0.97
+
+
+def test_probes_grow_with_the_lists():
+    assert postings.probes_for(32) == postings.PROBE < postings.probes_for(1244) < postings.probes_for(20_000)
+
+
+def test_nearest_of_both_tables_at_any_distance(spark, tmp_path):
+    x = unit(1500, 24, 8)
+    keys = [f"k{i:04d}" for i in range(len(x))]
+    frame(spark, keys[:600], x[:600]).selectExpr("key AS name", "embedding").write.parquet(f"{tmp_path}/knowledge.parquet")
+    frame(spark, keys[600:], x[600:]).selectExpr("key AS triple", "embedding").write.parquet(f"{tmp_path}/statement.parquet")
+    true = {(keys[i], keys[j]) for i, near in enumerate(brute_force(x, np.arange(len(x)), 5)) for j in near}
+    found = {(r["key"], r["neighbour"]) for r in p5_nearest_all(spark, str(tmp_path)).collect()}
+    some = {(r["key"], r["neighbour"]) for r in p5_nearest(spark, str(tmp_path)).collect()}
+    assert len(found) == len(true) and len(found & true) >= 0.97 * len(true)
+    assert some <= found and 5 <= len(some) < len(found) / 20
