@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from graphmill.llm import bagminhash as b
+from graphmill.llm.queries import p2_near_duplicates
 from graphmill.llm.words import words
 
 NAMES = "name string, content string, class string, id long, key double"
@@ -96,3 +97,13 @@ def test_weights_are_prefixes():
     t = b.arrivals(e, np.arange(1, 41), 64)
     assert (np.diff(t, axis=0) <= 0).all()
     assert np.array_equal(t[4], b.arrivals(np.array([7], np.uint32), np.array([5]), 64)[0])
+
+
+def test_every_name_has_a_row_however_few_its_words(spark, tmp_path):
+    rows = [("a", "ok"), ("b", "OK!"), ("c", "n/a"), ("d", "one two three four"), ("e", ""), ("e", "")]
+    rows = [(n, json.dumps({"data": t}), "", 0, 0.0) for n, t in rows] + [("f", None, "", 0, 0.0)]
+    spark.createDataFrame(rows, NAMES).write.parquet(f"{tmp_path}/knowledge.parquet")
+    got = sorted((r["name"], r["class"], r["links"]) for r in p2_near_duplicates(spark, str(tmp_path)).collect())
+    by = {n: c for n, c, _ in got}
+    assert [n for n, *_ in got] == list("abcdef") and {x for *_, x in got} == {0}
+    assert by["a"] == by["b"] and len({by["a"], by["c"], by["d"]} - {None}) == 3 and by["e"] is by["f"] is None
