@@ -10,18 +10,26 @@ that a weight costs its logarithm, squared, and not its value.  Weights are disc
 multiples of ``1/resolution``.
 
 Texts whose word weights are the same form one class; the search runs over classes.  Registers are
-banded; texts meet in a band's bucket, are compared by one bit of every register, and pairs above
-a lower confidence bound of the similarity are verified on the words themselves.
+banded, each band as deep as its words demand: registers are added to its key until the words that
+won them would be expected together in no more than ``BUCKET`` texts, so frequent words make deep
+bands, rare ones shallow bands, and buckets do not grow with the table.  A text goes on with
+further bands until a pair at the threshold would miss it in all of them with probability ``MISS``
+at most; of two texts the one that stops first decides, so that bound holds for every pair.  Texts
+that meet in a bucket are compared by one bit of every register, and pairs above a lower
+confidence bound of the similarity are verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +37,14 @@ from graphmill.llm.words import data_of, hash32, mix64, words
 from graphmill.session import materialise
 
 REGISTERS = 256
-#: Registers in a band and bands: a pair at similarity s meets with probability 1 - (1 - s**BAND_ROWS) ** BANDS.
-BAND_ROWS, BANDS = 3, 28
+#: Bands take their registers from the first so many; the others serve the comparison of bits.
+BAND_REGISTERS = 128
+#: Texts expected in a bucket, and the probability with which a pair at the threshold may meet in none.
+BUCKET, MISS = 16, 0.001
+#: Registers in a band and bands of a text, at most.
+DEPTH, BANDS = 8, 128
+#: Words of fewer texts than this share count as having it; at most so many words are sent to the workers (12 bytes each).
+LEAST_SHARE, MOST_WORDS = 2e-4, 500_000
 #: Pairs are dropped before verification where the similarity that the bits suggest is this many deviations too low.
 DEVIATIONS = 3.0
 #: A bucket estimated to hold more classes is compared in tiles of so many, each pair of tiles being one task's work.
@@ -87,17 +101,31 @@ def arrivals(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTE
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """Signatures of (elements, weights) pairs, float32 [sets, registers]; no set may be empty."""
+    return _signatures(sets, registers, 0)[0]
+
+
+def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, named: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and the element that won each of the first ``named`` registers: uint32 [sets, named]."""
     sizes = np.array([len(e) for e, _ in sets])
     pairs = np.concatenate([e.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64) for e, w in sets])
     known, where = np.unique(pairs, return_inverse=True)
-    table = arrivals((known >> np.uint64(32)).astype(np.uint32), (known & np.uint64(0xFFFFFFFF)).astype(np.int64), registers)
-    out = np.empty((len(sets), registers), np.float32)
+    elements = (known >> np.uint64(32)).astype(np.uint32)
+    table = arrivals(elements, (known & np.uint64(0xFFFFFFFF)).astype(np.int64), registers)
+    # Times are positive: as whole numbers they have the same order, with room below for the element's number.
+    both = table[:, :named].view(np.uint32).astype(np.uint64) << np.uint64(32) | np.arange(len(known), dtype=np.uint64)[:, None]
+    rest = np.ascontiguousarray(table[:, named:])
+    out, won = np.empty((len(sets), registers), np.float32), np.empty((len(sets), named), np.uint32)
     ends = np.cumsum(sizes)
     for a in range(0, len(sets), 256):
         b = min(a + 256, len(sets))
         first = ends[a] - sizes[a]
-        out[a:b] = np.minimum.reduceat(table[where[first : ends[b - 1]]], np.concatenate([[0], ends[a : b - 1] - first]), axis=0)
-    return out
+        rows, starts = where[first : ends[b - 1]], np.concatenate([[0], ends[a : b - 1] - first])
+        if named:
+            least = np.minimum.reduceat(both[rows], starts, axis=0)
+            out[a:b, :named] = (least >> np.uint64(32)).astype(np.uint32).view(np.float32)
+            won[a:b] = elements[(least & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        out[a:b, named:] = np.minimum.reduceat(rest[rows], starts, axis=0)
+    return out, won
 
 
 def bits(signature: np.ndarray) -> np.ndarray:
@@ -106,13 +134,47 @@ def bits(signature: np.ndarray) -> np.ndarray:
     return np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1)
 
 
-def band_keys(signature: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
-    """A 63-bit key of every band: int64 [sets, bands]."""
-    registers = signature.view(np.uint32).astype(np.uint64)
-    keys = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(signature), bands)).copy()
-    for r in range(rows):
-        keys = mix64(keys ^ registers[:, r * bands : (r + 1) * bands])
-    return (keys >> np.uint64(1)).astype(np.int64)
+@dataclass
+class Rarity:
+    """In how many texts words occur: the frequent ones, by ascending hash, and the number of texts."""
+
+    texts: int
+    words: np.ndarray
+    counts: np.ndarray
+
+    def bits_of(self, elements: np.ndarray) -> np.ndarray:
+        """-log of the share of texts that have each element, float32."""
+        share = np.full(elements.shape, LEAST_SHARE)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, elements), len(self.words) - 1)
+            share = np.maximum(share, np.where(self.words[at] == elements, self.counts[at] / max(self.texts, 1), 0.0))
+        return -np.log(np.minimum(share, 1.0)).astype(np.float32)
+
+
+@functools.lru_cache(2)
+def _paths(bands: int, depth: int, registers: int) -> np.ndarray:
+    """Which register each step of each band takes; every register comes once before any comes again."""
+    rng = np.random.default_rng(7)
+    return np.stack([np.concatenate([rng.permutation(registers) for _ in range(-(-bands // registers))])[:bands] for _ in range(depth)], 1)
+
+
+def band_keys(signature: np.ndarray, rarity: np.ndarray, texts: int, threshold: float, bucket: int = BUCKET, miss: float = MISS, depth: int = DEPTH, bands: int = BANDS) -> list[np.ndarray]:
+    """The 63-bit keys of every text's bands: int64 arrays.  ``rarity`` belongs to the words that won the first registers."""
+    n, registers = rarity.shape
+    values = signature[:, :registers].view(np.uint32).astype(np.uint64)
+    path = _paths(bands, depth, registers)
+    wanted = np.log(max(texts / bucket, 1.0 + 1e-9))
+    keys = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
+    found, deep = np.zeros((n, bands), np.float32), np.zeros((n, bands), np.int64)
+    for step in range(depth):
+        more = found < wanted
+        keys = np.where(more, mix64(keys ^ values[:, path[:, step]]), keys)
+        found += np.where(more, rarity[:, path[:, step]], 0)
+        deep += more
+    # Missed by all bands before this one; the band is needed while that is above what may be missed.
+    missed = np.cumprod(1 - np.minimum(threshold ** deep.astype(np.float64), 1 - 1e-12), axis=1)
+    used = 1 + (missed[:, :-1] > miss).sum(1)
+    return [k[:u] for k, u in zip((keys >> np.uint64(1)).astype(np.int64), used)]
 
 
 SETS = "id string, class long, n long, total long, elements binary, weights binary"
@@ -161,17 +223,36 @@ def weighted_sets(df: DataFrame, id: str, text: list[str], weights: str = "bag",
     return df.select(*columns).mapInPandas(run, SETS)
 
 
-def _signed(sets: DataFrame, rows: int, bands: int) -> DataFrame:
-    """``class, n, sketch, bands array<long>``: one row of a class for each batch of its members."""
+def word_rarity(sets: DataFrame) -> Rarity:
+    """Counts over all texts; of words, those of at least a share that bounds their number whatever the table's size."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words, counts = np.unique(np.frombuffer(b"".join(frame["elements"]), np.uint32), return_counts=True)
+            yield pd.DataFrame({"word": words.astype(np.int64), "n": counts.astype(np.int64)})
+
+    texts, sizes = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not texts:
+        return Rarity(0, np.empty(0, np.uint32), np.empty(0, np.int64))
+    share = max(LEAST_SHARE, sizes / texts / MOST_WORDS)  # all words' counts add up to ``sizes``
+    counts = sets.select("elements").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = counts.where(F.col("n") >= share * texts).toPandas().sort_values("word")
+    return Rarity(texts, frequent["word"].to_numpy(np.uint32), frequent["n"].to_numpy(np.int64))
+
+
+def _signed(sets: DataFrame, rarity: Broadcast, threshold: float) -> DataFrame:
+    """``class, total, sketch, bands array<long>``: one row of a class for each batch of its members."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: Rarity = rarity.value
         for frame in frames:
             frame = frame.drop_duplicates("class")
             if not len(frame):
                 continue
             unpacked = [(np.frombuffer(e, np.uint32), np.frombuffer(w, np.uint32)) for e, w in zip(frame["elements"], frame["weights"])]
-            signature = signatures(unpacked)
-            yield pd.DataFrame({"class": frame["class"].to_numpy(), "total": frame["total"].to_numpy(), "sketch": [x.tobytes() for x in bits(signature)], "bands": list(band_keys(signature, rows, bands))})
+            signature, won = _signatures(unpacked, REGISTERS, BAND_REGISTERS)
+            bands = [k for a in range(0, len(frame), 2048) for k in band_keys(signature[a : a + 2048], known.bits_of(won[a : a + 2048]), known.texts, threshold)]
+            yield pd.DataFrame({"class": frame["class"].to_numpy(), "total": frame["total"].to_numpy(), "sketch": [x.tobytes() for x in bits(signature)], "bands": bands})
 
     return sets.select("class", "total", "elements", "weights").mapInPandas(run, "class long, total long, sketch binary, bands array<long>")
 
@@ -221,55 +302,64 @@ def _bucket_pairs(threshold: float, deviations: float):
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # rows of the bucket that the next frame may continue
         for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(held):
+            if not len(frame):
                 continue
-            key, tile = held["key"].to_numpy(), held["tile"].to_numpy()
+            key, tile = frame["key"].to_numpy(), frame["tile"].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
-            if len(starts) > 1:  # the next frame may continue the last bucket
-                yield candidates(held.iloc[: starts[-1]], starts[:-1])
-                held = held.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield candidates(held, np.zeros(1, np.int64))
+            if held and (held[-1]["key"].iloc[-1] != key[0] or held[-1]["tile"].iloc[-1] != tile[0]):
+                yield candidates(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
+                held = []
+            if len(starts) == 1:
+                held.append(frame)
+                continue
+            if held:
+                yield candidates(pd.concat([*held, frame.iloc[: starts[1]]], ignore_index=True), np.zeros(1, np.int64))
+                frame, starts = frame.iloc[starts[1] :], starts[1:] - starts[1]
+            if len(starts) > 1:
+                yield candidates(frame.iloc[: starts[-1]], starts[:-1])
+            held = [frame.iloc[starts[-1] :]]
+        if held:
+            yield candidates(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
 
     return run
 
 
-def _hot_buckets(sets: DataFrame, rows: int, bands: int, tile: int) -> dict[int, int]:
-    """Buckets that a sample of classes shows to be large, with the number of tiles they need.
+def _hot_buckets(sets: DataFrame, rarity: Broadcast, threshold: float, tile: int) -> DataFrame:
+    """``key, tiles`` of buckets that a sample of classes shows to be large, with the number of tiles they need.
 
     Only where work goes depends on it: a bucket may be tiled or not without any change of result.
     """
     one_in = 64
-    sampled = _signed(sets.where(F.pmod(F.xxhash64("class"), F.lit(one_in)) == 0), rows, bands).dropDuplicates(["class"])
+    sampled = _signed(sets.where(F.pmod(F.xxhash64("class"), F.lit(one_in)) == 0), rarity, threshold).dropDuplicates(["class"])
     counts = sampled.select(F.explode("bands").alias("key")).groupBy("key").count().where(F.col("count") * one_in > tile)
-    return {r["key"]: -(-r["count"] * one_in // tile) for r in counts.orderBy(F.desc("count")).limit(100_000).collect()}
+    return counts.select("key", F.ceil(F.col("count") * one_in / tile).cast("int").alias("tiles"))
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, bands: int = BANDS, deviations: float = DEVIATIONS, tile: int = TILE) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float = 0.8, deviations: float = DEVIATIONS, tile: int = TILE) -> DataFrame:
     """Pairs ``a, b, similarity`` of classes (a < b) with weighted Jaccard similarity >= ``threshold``, verified.
 
     ``sets`` comes from :func:`weighted_sets` and should be materialised.  Every pair returned is
-    exact; a pair at similarity s is found with probability 1 - (1 - s**rows)**bands, less 0.0013 at
-    the threshold itself for the comparison of bits.
+    exact; a pair at the threshold is found with probability 1 - ``MISS``, less 0.0013 for the
+    comparison of bits, and more similar ones more surely.
     """
-    signed = _signed(sets, rows, bands)
-    hot = _hot_buckets(sets, rows, bands, tile) if sets.count() > tile else {}
-    entries = signed.select("class", "total", "sketch", F.explode("bands").alias("key"))
+    known = word_rarity(sets)
+    rarity = sets.sparkSession.sparkContext.broadcast(known)
+    entries = _signed(sets, rarity, threshold).select("class", "total", "sketch", F.explode("bands").alias("key"))
     none = [F.lit(0).alias("tile"), F.lit(0).alias("side")]
-    if hot:
-        table = F.broadcast(sets.sparkSession.createDataFrame(list(hot.items()), "key long, tiles int"))
-        entries = entries.join(table, "key", "left")
+    hot = materialise(_hot_buckets(sets, rarity, threshold, tile), "hot") if known.texts > tile else None
+    n_hot = hot.count() if hot is not None else 0
+    if n_hot:
+        entries = entries.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "key", "left")
         own = F.pmod(F.hash("class"), F.col("tiles"))
         # Tile pair (i, j), i <= j, is number i * tiles + j; a class sits on the first side of one row of pairs and the second of one column.
         across = F.transform(
             F.sequence(F.lit(0), F.col("tiles") - 1),
             lambda t: F.struct((F.least(own, t) * F.col("tiles") + F.greatest(own, t) + 1).alias("tile"), F.when(own == t, 0).when(own < t, 1).otherwise(2).alias("side")),
         )
-        spread = entries.where(F.col("tiles").isNotNull()).select("key", "class", "total", "sketch", F.inline(across))
-        entries = entries.where(F.col("tiles").isNull()).select("key", "class", "total", "sketch", *none).unionByName(spread)
+        whole = F.array(F.struct(*none))
+        entries = entries.select("key", "class", "total", "sketch", F.inline(F.when(F.col("tiles").isNull(), whole).otherwise(across)))
     else:
         entries = entries.select("key", "class", "total", "sketch", *none)
     met = entries.repartition("key", "tile").sortWithinPartitions("key", "tile")
@@ -305,15 +395,24 @@ def near_duplicates(df: DataFrame, id: str, text: list[str], weights: str = "bag
     return sets.select("id", "class", "n").distinct(), similar_classes(sets, threshold, **search)
 
 
-def expand(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of ids ``id_a < id_b``: members of linked classes, and members of the same class."""
+def expand(members: DataFrame, links: DataFrame, part: int = 1000) -> DataFrame:
+    """Pairs of ids ``id_a < id_b``: members of linked classes, and members of the same class.
+
+    A class of many members meets its partners in parts of about ``part`` members, each pair of
+    parts being its own work.
+    """
     links = materialise(links, "links")
+    members = materialise(members.select("id", "class").distinct(), "members")
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     ids = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    repeated = members.groupBy("class").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("class")
-    wanted = materialise(ids.unionByName(repeated).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    rows = members.join(wanted, "class", "left_semi").select("id", "class")
-    left, right = rows.select(F.col("id").alias("x"), F.col("class").alias("a")), rows.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
-    return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    wanted = materialise(sizes.join(ids.withColumn("linked", F.lit(True)), "class", "left").where(F.col("linked") | (F.col("n") > 1)).select("class", F.ceil(F.col("n") / part).cast("int").alias("parts")), "wanted")
+    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = members.join(hint, "class").select("id", "class", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    alone = links.select("a", "b").unionByName(wanted.select(F.col("class").alias("a"), F.col("class").alias("b")))
+    of = lambda side: hint.select(F.col("class").alias(side), F.col("parts").alias(f"parts_{side}"))
+    both = alone.join(of("a"), "a").join(of("b"), "b")
+    split = both.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("part_a"), "parts_b").select("a", "b", "part_a", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("part_b"))
+    side = lambda s, name: rows.select(F.col("class").alias(s), F.col("part").alias(f"part_{s}"), F.col("id").alias(name))
+    pairs = split.join(side("a", "x"), ["a", "part_a"]).join(side("b", "y"), ["b", "part_b"])
+    pairs = pairs.where(F.when(F.col("a") == F.col("b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

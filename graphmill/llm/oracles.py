@@ -15,6 +15,19 @@ c AS (SELECT x.name AS name_a, y.name AS name_b, x.n AS na, y.n AS nb, count(*)
 SELECT DISTINCT name_a, name_b FROM c WHERE common >= 0.6::DOUBLE * (na + nb - common)
 """
 
+P2_NEAR = f"""
+WITH k AS ({_DATA}),
+s AS (SELECT DISTINCT name, list_sort({_WORDS.format("data")}) AS ws FROM k),
+m AS (SELECT name, array_to_string(ws, ' ') AS c, ws FROM s WHERE len(ws) > 0),
+t AS (SELECT c, min(name) AS class, len(any_value(ws)) AS n, any_value(ws) AS ws FROM m GROUP BY c),
+w AS (SELECT class, n, word, count(*) AS f FROM (SELECT class, n, unnest(ws) AS word FROM t) GROUP BY ALL),
+p AS (SELECT x.class AS a, y.class AS b, x.n AS na, y.n AS nb, sum(least(x.f, y.f)) AS common FROM w x JOIN w y ON x.word = y.word AND x.class < y.class AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE common >= 0.8::DOUBLE * (na + nb - common)),
+e AS (SELECT class, count(*) AS links FROM (SELECT a AS class FROM l UNION ALL SELECT b FROM l) GROUP BY class),
+r AS (SELECT m.name, t.class, coalesce(e.links, 0) AS links FROM m JOIN t USING (c) LEFT JOIN e ON e.class = t.class)
+SELECT n.name, r.class, coalesce(r.links, 0) AS links FROM (SELECT DISTINCT name FROM knowledge WHERE name IS NOT NULL) n LEFT JOIN r ON r.name = n.name
+"""
+
 P3 = f"""
 WITH k AS ({_DATA})
 SELECT DISTINCT k.name FROM k LEFT JOIN local_config USING (shelf) WHERE len({_TOKENS.format("data")}) > coalesce(max_seq_length, 8192)
@@ -68,4 +81,4 @@ si AS (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda a: a
 SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (run)
 """
 
-ORACLES = {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_ranking": P4_RANKING, "p5_found": P5, "p6_found": P6, "p6_percentiles": P6_PERCENTILES, "p8_found": P8}
+ORACLES = {"p2_found": P2, "p2_near_duplicates": P2_NEAR, "p3_found": P3, "p4_found": P4, "p4_ranking": P4_RANKING, "p5_found": P5, "p6_found": P6, "p6_percentiles": P6_PERCENTILES, "p8_found": P8}

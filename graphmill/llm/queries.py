@@ -25,13 +25,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Each knowledge row's class and number of similar classes, by the overlap of its word multiset.
 
-    A name whose data has no word, or that has no data, has a null class and no links.
+    A class is named by its smallest name.  A name whose data has no word, or that has no data, has
+    a null class and no links; a name saved with different texts has a row for each.
     """
     knowledge = table(spark, folder, "knowledge")
     members, links = bagminhash.near_duplicates(knowledge, "name", [], weights="bag", threshold=0.8, json_data="content")
     ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("class").agg(F.min("id").alias("first")).join(ends, "class", "left")
     names = knowledge.where(F.col("name").isNotNull()).select(F.col("name").alias("id")).distinct()
-    return names.join(members, "id", "left").join(ends, "class", "left").select(F.col("id").alias("name"), "class", F.coalesce("links", F.lit(0)).alias("links"))
+    rows = names.join(members.join(classes, "class"), "id", "left")
+    return rows.select(F.col("id").alias("name"), F.col("first").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,13 +61,52 @@ def test_tiles_change_nothing(spark):
     class_of = {r["class"] for r in sets.collect()}
     old = b._hot_buckets
     try:
-        b._hot_buckets = lambda sets, rows, bands, tile: {r["key"]: 3 for r in b._signed(sets, rows, bands).selectExpr("explode(bands) AS key").distinct().collect()}
+        b._hot_buckets = lambda sets, rarity, threshold, tile: b._signed(sets, rarity, threshold).selectExpr("explode(bands) AS key").distinct().selectExpr("key", "3 AS tiles")
         tiled = {tuple(r) for r in b.similar_classes(sets, 0.5, tile=2).select("a", "b").collect()}
     finally:
         b._hot_buckets = old
     assert tiled == whole and whole and len(class_of) > 50
 
 
+def test_bands_are_deeper_for_frequent_words():
+    rng = np.random.default_rng(4)
+    e = [np.sort(rng.choice(2**32, 40, replace=False).astype(np.uint32)) for _ in range(50)]
+    signature, won = b._signatures([(x, np.ones(40, np.uint32)) for x in e], b.REGISTERS, b.BAND_REGISTERS)
+    known = b.Rarity(1_000_000, np.unique(np.concatenate(e[:25])), np.full(1000, 900_000))
+    keys = b.band_keys(signature, known.bits_of(won), known.texts, 0.6)
+    sizes = [len(k) for k in keys]
+    # Frequent words: as many bands of full depth as there are; rare ones: two registers each, 0.36 ** bands.
+    assert set(sizes[:25]) == {b.BANDS} and max(sizes[25:]) <= 20 and 0.64 ** min(sizes[25:]) <= b.MISS < 0.64 ** (min(sizes[25:]) - 1)
+    again = b.band_keys(signature[3:5], known.bits_of(won[3:5]), known.texts, 0.6)
+    assert all((x == y).all() for x, y in zip(again, keys[3:5]))
+
+
+def test_compared_pairs_do_not_grow_with_the_table():
+    """Texts that share only frequent words: partners of a text in its buckets, at two sizes."""
+    rng = np.random.default_rng(6)
+    vocabulary = rng.choice(2**32, 4000, replace=False).astype(np.uint32)
+    share = 1 / (1 + np.arange(4000) / 8)
+    share /= share.sum()
+    per_row = []
+    for n in (1000, 4000):
+        e = [np.unique(rng.choice(vocabulary, 60, p=share)) for _ in range(n)]
+        words, counts = np.unique(np.concatenate(e), return_counts=True)
+        signature, won = b._signatures([(x, np.ones(len(x), np.uint32)) for x in e], b.REGISTERS, b.BAND_REGISTERS)
+        _, sizes = np.unique(np.concatenate(b.band_keys(signature, b.Rarity(n, words, counts).bits_of(won), n, 0.6)), return_counts=True)
+        per_row.append((sizes * (sizes - 1) // 2).sum() / n)
+    assert per_row[1] < 2.2 * per_row[0]  # fixed bands compare four times as many
+
+
+def test_large_classes_meet_in_parts(spark):
+    names = [f"n{i:02d}" for i in range(30)]
+    members = spark.createDataFrame([(n, 1 if i < 20 else 2, 5) for i, n in enumerate(names)] + [("n29", 1, 5), ("x", 3, 5)], "id string, class long, n long")
+    got = [tuple(r) for r in b.expand(members, spark.createDataFrame([(1, 2, 0.9)], "a long, b long, similarity double"), part=4).collect()]
+    assert sorted(got) == [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+    copies = [tuple(r) for r in b.expand(members, spark.createDataFrame([], "a long, b long, similarity double"), part=4).collect()]
+    one, two = names[:20] + ["n29"], names[20:]
+    assert sorted(copies) == sorted({(x, y) for g in (one, two) for i, x in enumerate(g) for y in g[i + 1 :]})
+
+
 def test_empty_table(spark):
     members, links = b.near_duplicates(spark.createDataFrame([], NAMES), "name", ["name"], json_data="content")
     assert members.count() == 0 and b.expand(members, links).count() == 0
