@@ -5,8 +5,8 @@ word w with probability proportional to exp(ease_w + difficulty_w * level_d): th
 the faster its share rises with the level.  The two sides are fitted in turn.  Given the words, the
 level of a document depends only on its length and its summed difficulties; given the levels,
 binned, each word is a Poisson regression on its counts by bin.  A pass over the corpus computes
-levels and adds up counts by word and bin, in each task first; only that table of fixed size
-reaches the driver.  The scale has its sense from word lengths, with which it starts, and its level
+levels and adds up counts by word and bin, in each task first and then in the cluster; only that
+table, of a size that does not depend on the documents, reaches the driver.  The scale has its sense from word lengths, with which it starts, and its level
 marks from human labels, by the cut points that contradict fewest of them.
 
 The vocabulary is the words in at least ``MIN_SHARE`` of the documents, of which there are at most
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,6 @@ ITERATIONS = 5
 LABELLED = 20_000
 MIN_WORDS = 60
 LEVELS = (1, 2, 3, 4, 5)
-#: Sums from tasks are added up in so many groups before they reach the driver.
-GROUPS = 16
 
 #: Spellings of languages, by the first letters of what a lang column says.
 LANGUAGES = {"en": "en", "de": "de", "ge": "de", "fr": "fr", "es": "es", "sp": "es", "zh": "zh", "ch": "zh", "cn": "zh"}
@@ -198,18 +195,21 @@ def fit_words(table: np.ndarray, centres: np.ndarray, ridge: float = 1.0) -> tup
 
 
 def _counts_by_bin(bags: DataFrame, ease: np.ndarray, difficulty: np.ndarray, shift: float, scale: float, start: bool) -> tuple[np.ndarray, float, float]:
-    """Counts by word and level bin over all documents, with the mean and deviation of the levels."""
+    """Counts by word and level bin over all documents, with the mean and deviation of the levels.
+
+    Tasks give the cells they have met, which are added up in the cluster; at most one row for each
+    word and bin, and three for the moments (cells below 0), come to the driver.
+    """
     shared = bags.sparkSession.sparkContext.broadcast((ease, difficulty))
     shape = (len(ease), len(BINS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ease, difficulty = shared.value
-        table, moments, seen = np.zeros(shape), np.zeros(3), False
+        table, moments = np.zeros(shape[0] * shape[1]), np.zeros(3)
         for frame in frames:
             terms, counts, doc = _unpack(frame)
             if not len(terms):
                 continue
-            seen = True
             if start:  # mean word length
                 n = np.bincount(doc, counts, len(frame))
                 level = np.where(n > 0, np.bincount(doc, counts * difficulty[terms], len(frame)) / np.maximum(n, 1), np.nan)
@@ -221,22 +221,16 @@ def _counts_by_bin(bags: DataFrame, ease: np.ndarray, difficulty: np.ndarray, sh
             if scale == 1.0 and start:
                 continue
             cell = np.clip(np.rint((np.nan_to_num(level) - BINS[0]) / (BINS[1] - BINS[0])), 0, len(BINS) - 1).astype(np.int64)
-            table += np.bincount(terms.astype(np.int64) * shape[1] + cell[doc], counts, shape[0] * shape[1]).reshape(shape)
-        if seen:
-            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % GROUPS], "t": [table.tobytes()], "m": [moments.tobytes()]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        table, moments = np.zeros(shape), np.zeros(3)
-        for t, m in zip(frame["t"], frame["m"]):
-            table += np.frombuffer(t).reshape(shape)
-            moments += np.frombuffer(m)
-        return pd.DataFrame({"t": [table.tobytes()], "m": [moments.tobytes()]})
-
-    sums = bags.where(F.length("terms") > 0).select("terms", "counts").mapInPandas(run, "g int, t binary, m binary")
-    table, moments = np.zeros(shape), np.zeros(3)
-    for row in sums.groupBy("g").applyInPandas(add, "t binary, m binary").toLocalIterator():
-        table += np.frombuffer(row["t"]).reshape(shape)
-        moments += np.frombuffer(row["m"])
+            table += np.bincount(terms.astype(np.int64) * shape[1] + cell[doc], counts, len(table))
+        met = np.flatnonzero(table)
+        yield pd.DataFrame({"cell": np.concatenate([[-3, -2, -1], met]), "n": np.concatenate([moments, table[met]])})
+
+    sums = bags.where(F.length("terms") > 0).select("terms", "counts").mapInPandas(run, "cell long, n double")
+    total = sums.groupBy("cell").agg(F.sum("n").alias("n")).select(F.col("cell").cast("int"), "n").toPandas()
+    moments, cells = np.zeros(3), total[total["cell"] >= 0]
+    for cell, n in total[total["cell"] < 0].itertuples(index=False):
+        moments[int(cell) + 3] = n
+    table = np.bincount(cells["cell"], cells["n"], shape[0] * shape[1]).reshape(shape)
     mean = moments[1] / max(moments[0], 1)
     return table, mean, float(np.sqrt(max(moments[2] / max(moments[0], 1) - mean**2, 1e-12)))
 
@@ -284,7 +278,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang: str = "en", it
     difficulty nor level.  The language is what the lang column says; where that is null or unknown
     it is what the words of labelled documents suggest.  Null and empty texts have 0 words.  Labels
     that are null or outside 1 to 5 are left out, a rater's copies count once, and several raters
-    of a document are averaged.  Of repeated identifiers one row is used.  Tables may be empty.
+    of a document are averaged.  Of repeated identifiers the row with the most words of prose, then
+    the greatest other values, counts.  Tables may be empty.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("_id"), language("lang").alias("_lang"), F.col("text").alias("_text"))
     odds, model = _vocabulary(rows, lang, min_share)
@@ -312,4 +307,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang: str = "en", it
     for mark in marks:
         level = level + F.when(F.col("difficulty") >= float(mark), 1).otherwise(0)
     final = scored.withColumn("level", F.when(F.col("difficulty").isNotNull(), level))
-    return final.dropDuplicates(["doc_id"])
+    once = final.groupBy("doc_id").agg(F.max(F.struct("n_words", "lang", "difficulty", "level")).alias("r"))
+    return once.select("doc_id", "r.lang", "r.n_words", "r.difficulty", "r.level")
