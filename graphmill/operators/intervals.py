@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.plans.shards import bounds_below, lower_bound, shard_bounds, upper_bound
+from graphmill.plans.shards import bounds_below, lower_bound, shard_bounds, upper_bound, with_bounds
+from graphmill.session import materialise
 
 #: Stands for "no end" inside the operator.
 FOREVER = (1 << 63) - 1
@@ -51,12 +52,13 @@ def _islands(pieces: DataFrame, by: list[str], keep: list[str] = []) -> DataFram
 
 def _local(rows: DataFrame, rows_per_shard: int) -> tuple[DataFrame, bool]:
     """Islands ``_k, _shard, _lo, _hi, _from, _to`` merged within each shard; whether any key was cut."""
+    # Of intervals with the same start the longest says all; written once, for it is read several times.
+    rows = materialise(rows.groupBy("_k", "_lo").agg(F.max("_hi").alias("_hi")), "intervals")
     bounds = shard_bounds(rows, ["_k"], "_lo", rows_per_shard)
     if bounds is None:
-        whole = rows.groupBy("_k", "_lo").agg(F.max("_hi").alias("_hi"))
         none = F.lit(None).cast("bigint")
-        return _islands(whole, ["_k"]).select("_k", F.lit(0).alias("_shard"), "_lo", "_hi", none.alias("_from"), none.alias("_to")), False
-    placed = rows.join(bounds, "_k", "left").withColumns({"_first": bounds_below(F.col("_lo")), "_last": bounds_below(F.col("_hi"), inclusive=False)})
+        return _islands(rows, ["_k"]).select("_k", F.lit(0).alias("_shard"), "_lo", "_hi", none.alias("_from"), none.alias("_to")), False
+    placed = with_bounds(rows, bounds, ["_k"], "_lo").withColumns({"_first": bounds_below(F.col("_lo")), "_last": bounds_below(F.col("_hi"), inclusive=False)})
     clip = lambda shard: F.struct(
         shard.alias("_shard"),
         F.greatest("_lo", lower_bound(shard)).alias("_lo"),
@@ -70,7 +72,7 @@ def _local(rows: DataFrame, rows_per_shard: int) -> tuple[DataFrame, bool]:
     runs = placed.where(F.col("_last") > F.col("_first") + 1).groupBy("_k", "_first").agg(F.max("_last").alias("_last"))
     full = runs.select("_k", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)).alias("_shard")).distinct()
     shard = F.col("_shard")
-    full = full.join(bounds, "_k").select("_k", "_shard", lower_bound(shard).alias("_lo"), upper_bound(shard).alias("_hi"), lower_bound(shard).alias("_from"), upper_bound(shard).alias("_to"))
+    full = with_bounds(full, bounds, ["_k"], "_shard").select("_k", "_shard", lower_bound(shard).alias("_lo"), upper_bound(shard).alias("_hi"), lower_bound(shard).alias("_from"), upper_bound(shard).alias("_to"))
     pieces = clipped.unionByName(full).groupBy("_k", "_shard", "_lo").agg(F.max("_hi").alias("_hi"), F.max("_from").alias("_from"), F.max("_to").alias("_to"))
     return _islands(pieces, ["_k", "_shard"], ["_from", "_to"]), True
 

@@ -55,6 +55,24 @@ def test_matches_brute_force(spark, seed, shard):
     assert len(got) == len(set(got)) and set(got) == gaps
 
 
+def test_two_thousand_shards_and_bounds_by_salt(spark, monkeypatch):
+    """A subject of 2,000 shards beside one of a few; the same rows when bounds are too large to broadcast."""
+    from graphmill.plans import shards
+
+    rnd = random.Random(5)
+    rows = [("hot", EPOCH + timedelta(seconds=rnd.randrange(40_000)), None, "", 0) for _ in range(6_000)]
+    rows = [(s, a, a + timedelta(seconds=rnd.choice([1, 2, 3, 900 * (rnd.random() < 0.01)])), x, y) for s, a, _, x, y in rows]
+    rows += [("warm", a, b, x, y) for _, a, b, x, y in rows[:30]] + [("cold", *rows[0][1:])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    periods, gaps = brute(rows)
+    bounds = shards.shard_bounds(df.selectExpr("subject AS _k", "unix_micros(cast(tr_start AS timestamp)) AS _lo"), ["_k"], "_lo", 3)
+    assert {r["_k"]: len(r["_bounds"]) for r in bounds.collect()} == {"hot": 1999, "warm": 9}
+    assert {tuple(r) for r in interval_gaps(df, rows_per_shard=3).collect()} == gaps
+    monkeypatch.setattr(shards, "BROADCAST_BYTES", 0)
+    assert {tuple(r) for r in merge_intervals(df, rows_per_shard=3).collect()} == periods
+    assert {tuple(r) for r in interval_gaps(df, rows_per_shard=3).collect()} == gaps
+
+
 def test_same_start_and_spanning_rows(spark):
     t = lambda h: EPOCH + timedelta(hours=h)
     rows = [("s", t(0), t(1), "", 0)] * 50 + [("s", t(0), t(500), "", 0)] * 3 + [("s", t(h), t(h) + timedelta(minutes=30), "", 0) for h in range(480, 620, 2)]
