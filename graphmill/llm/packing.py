@@ -1,9 +1,10 @@
 """Packing texts into fixed-capacity sequences: bounded-space best fit, then a merge of leftovers.
 
 Every partition keeps ``windows`` open sequences for each bin group.  An item goes to the open
-window that it fills best; if it fits in none and all windows are in use, the fullest is closed.
-What is open at the end of a partition is left over; leftovers of ``fan`` partitions at a time are
-packed again as whole units, level by level, until the partitions of a group have been merged.
+window that it fills best; if it fits in none and all windows are in use, the fullest is closed,
+and what is closed stays so.  What is still open at the end of a partition is left over; leftovers
+of ``fan`` partitions at a time are packed again as whole units, level by level, until the
+partitions of a group have been merged.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.session import materialise
@@ -39,9 +40,16 @@ def _encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counter(path: str = TOKENIZER) -> Callable[[str], int]:
-    """Counts the tokens of a text by a vocabulary file of ranks; special tokens are ordinary text."""
-    return lambda text: len(_encoding(path).encode_ordinary(text))
+def token_counter(path: str = TOKENIZER, spark: SparkSession | None = None) -> Callable[[str], int]:
+    """Counts the tokens of a text by a vocabulary file of ranks; special tokens are ordinary text.
+
+    With ``spark`` the file is sent to the executors, which then need none of their own.
+    """
+    if spark is None:
+        return lambda text: len(_encoding(path).encode_ordinary(text))
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda text: len(_encoding(SparkFiles.get(name)).encode_ordinary(text))
 
 
 class OpenWindows:
@@ -72,6 +80,8 @@ PLACED = "id string, piece int, pieces int, first_token long, n_tokens long, bin
 
 
 def _pack_partition(count: Callable[[str], int] | None, windows: int):
+    columns = [c.split()[0] for c in PLACED.split(", ")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         partition = TaskContext.get().partitionId()
         open_: dict[tuple[str, int], OpenWindows] = {}
@@ -88,19 +98,36 @@ def _pack_partition(count: Callable[[str], int] | None, windows: int):
                     n = min(capacity, size - piece * capacity)
                     window, offset, _ = bins.place(n)
                     out.append((key, piece, pieces, piece * capacity, n, group, capacity, partition, base + window, offset))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
+            yield pd.DataFrame(out, columns=columns)
+        # What is open now, one row each with its tokens and piece -1.
+        still = [(None, -1, 0, 0, capacity - room, group, capacity, partition, offsets[group, capacity] + window, 0) for (group, capacity), bins in open_.items() for room, window in bins.free]
+        yield pd.DataFrame(still, columns=columns)
 
     return run
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best fit, largest first, of whole leftover windows: each gets its new window and how far it moves."""
-    pdf = pdf.sort_values(["used", "home"], ascending=[False, True], kind="stable")
-    bins, homes, out = OpenWindows(int(pdf["capacity"].iloc[0]), 1 << 62), {}, []
-    for used, home in zip(pdf["used"], pdf["home"]):
-        number, offset, _ = bins.place(int(used))
-        out.append((home, homes.setdefault(number, home), offset))
-    return pd.DataFrame(out, columns=["home", "into", "shift"]).assign(bin=pdf["bin"].iloc[0], capacity=pdf["capacity"].iloc[0], part=pdf["part"].iloc[0])
+MOVES = "home string, into string, shift long, bin string, capacity long, part int, left long"
+
+
+def _merge_group(windows: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Best fit, largest first, of whole leftover windows: each gets its new window and how far it moves.
+
+        ``left`` is the tokens of a window that goes on to the next level: of the emptiest ``windows``.
+        """
+        pdf = pdf.sort_values(["used", "home"], ascending=[False, True], kind="stable")
+        capacity = int(pdf["capacity"].iloc[0])
+        bins, homes, out = OpenWindows(capacity, 1 << 62), {}, []
+        for used, home in zip(pdf["used"], pdf["home"]):
+            number, offset, _ = bins.place(int(used))
+            out.append([home, homes.setdefault(number, home), offset, None])
+        open_ = {homes[number]: capacity - room for room, number in bins.free[-windows:]}
+        for row in out:
+            row[3] = open_.get(row[0])
+        moves = pd.DataFrame(out, columns=["home", "into", "shift", "left"]).astype({"left": "Int64"})
+        return moves.assign(bin=pdf["bin"].iloc[0], capacity=capacity, part=pdf["part"].iloc[0])
+
+    return run
 
 
 def pack(df: DataFrame, id: str, size: Column, group: Column, capacity: Column, counter: Callable[[str], int] | None = None, windows: int = WINDOWS, fan: int = FAN) -> DataFrame:
@@ -116,20 +143,16 @@ def pack(df: DataFrame, id: str, size: Column, group: Column, capacity: Column,
     kind = "string" if counter else "long"
     rows = df.select(F.col(id).cast("string").alias("_id"), F.coalesce(size.cast(kind), F.lit("" if counter else 0).cast(kind)).alias("_size"), F.coalesce(group.cast("string"), F.lit("")).alias("_bin"), F.coalesce(capacity.cast("long"), F.lit(DEFAULT_CAPACITY)).alias("_capacity"))
     # Written once: what is left over and what is not must come from the same run of the packing.
-    placed = materialise(rows.mapInPandas(_pack_partition(counter, windows), PLACED), "placed")
+    written = materialise(rows.mapInPandas(_pack_partition(counter, windows), PLACED), "placed")
     home = F.concat_ws("/", F.col("partition").cast("string"), F.col("window").cast("string"))
-    used = placed.groupBy("bin", "capacity", "partition", "window").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("used"))
-    # Left over are the emptiest windows of a partition, as many as were open; the fuller ones were closed.
-    newest = F.row_number().over(Window.partitionBy("bin", "capacity", "partition").orderBy("used", F.desc("window")))
-    left = used.where(F.col("used") < F.col("capacity")).withColumn("_r", newest).where(F.col("_r") <= windows)
-    left = left.select("bin", "capacity", F.col("partition").alias("part"), home.alias("home"), "used")
+    placed, open_ = written.where(F.col("piece") >= 0), written.where(F.col("piece") < 0)
+    left = open_.select("bin", "capacity", F.col("partition").alias("part"), home.alias("home"), F.col("n_tokens").alias("used"))
     moves = None
-    schema = "home string, into string, shift long, bin string, capacity long, part int"
     parts = (placed.agg(F.max("partition")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // fan)
         left = left.withColumn("part", F.floor(F.col("part") / fan).cast("int"))
-        step = materialise(left.groupBy("bin", "capacity", "part").applyInPandas(_merge_group, schema), "moves")
+        step = materialise(left.groupBy("bin", "capacity", "part").applyInPandas(_merge_group(windows), MOVES), "moves")
         if moves is None:
             moves = step.select("home", "into", "shift")
         else:
@@ -137,9 +160,7 @@ def pack(df: DataFrame, id: str, size: Column, group: Column, capacity: Column,
             moves = moves.join(later, "into", "left").select("home", F.coalesce("_next", "into").alias("into"), (F.col("shift") + F.coalesce("_more", F.lit(0))).alias("shift"))
         if parts == 1:
             break
-        sizes = step.join(left.select("home", "used"), "home").groupBy("bin", "capacity", "part", F.col("into").alias("home")).agg(F.max(F.col("shift") + F.col("used")).alias("used"))
-        newest = F.row_number().over(Window.partitionBy("bin", "capacity", "part").orderBy("used", "home"))
-        left = sizes.where(F.col("used") < F.col("capacity")).withColumn("_r", newest).where(F.col("_r") <= windows).drop("_r")
+        left = step.where(F.col("left").isNotNull()).select("bin", "capacity", "part", "home", F.col("left").alias("used"))
     moves = moves.where((F.col("into") != F.col("home")) | (F.col("shift") != 0))
     final = placed.withColumn("home", home).join(moves, "home", "left")
     into = F.coalesce("into", "home")
@@ -157,5 +178,5 @@ def pack_documents(documents: DataFrame, local_config: DataFrame, tokenizer: str
     rows = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.regexp_extract("source", r"^shelf/([^/]+)/", 1).alias("shelf"))
     joined = rows.join(config, "shelf", "left")
     known = F.when(F.col("_capacity").isNotNull(), F.col("shelf"))
-    packed = pack(joined, "_doc", F.col("_text"), known, F.col("_capacity"), token_counter(tokenizer), **settings)
+    packed = pack(joined, "_doc", F.col("_text"), known, F.col("_capacity"), token_counter(tokenizer, documents.sparkSession), **settings)
     return packed.select(F.col("id").cast("long").alias("doc_id"), "piece", "pieces", "first_token", "n_tokens", F.col("bin").alias("shelf"), "capacity", "sequence", "offset")

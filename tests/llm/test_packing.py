@@ -47,6 +47,30 @@ def test_every_item_has_its_place(spark):
         assert used <= 1.1 * len(rooms)
 
 
+def test_closed_windows_stay_closed(spark):
+    """Only what a partition had open at its end moves; at most ``windows`` of each partition and group."""
+    rnd = random.Random(3)
+    rows = [(str(i), rnd.randrange(1, 25)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, n long").repartition(4)
+    parts = df.select("id", "n").rdd.glom().collect()
+    still, closed = set(), set()
+    for part in parts:
+        bins, held = OpenWindows(64, 8), {}
+        for r in part:
+            number, _, shut = bins.place(r["n"])
+            held.setdefault(number, []).append(r["id"])
+            if shut is not None:
+                closed.add(tuple(sorted(held[shut])))
+        closed |= {tuple(sorted(ids)) for n, ids in held.items() if n not in {w for _, w in bins.free}}
+        still |= {tuple(sorted(held[w])) for _, w in bins.free}
+    got = {}
+    for r in pack(df, "id", F.col("n"), F.lit("g"), F.lit(64), windows=8).collect():
+        got.setdefault(r["sequence"], []).append(r["id"])
+    groups = {tuple(sorted(ids)) for ids in got.values()}
+    assert closed <= groups and len(still) <= 32
+    assert len(groups) - len(closed) < len(still)  # some of the open ones were merged
+
+
 def test_documents(spark):
     config = spark.createDataFrame([("s", 20), ("n", None)], "shelf string, max_seq_length long")
     rows = [(1, "some words here", "shelf/s/notes", "", 0), (2, None, "shelf/s/notes", "", 0), (3, "", "shelf/n/x", "", 0), (4, "word " * 90, "shelf/s/x", "", 0), (5, "hello", None, "", 0), (6, "hello <|endoftext|>", "shelf/unknown/x", "", 0), (1, "some words here", "shelf/s/notes", "", 0)]
