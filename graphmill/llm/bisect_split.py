@@ -1,8 +1,9 @@
 """Splitting texts over a token limit at natural boundaries, with overlap.
 
 Recursive bisection: a span whose tokens exceed the limit less the overlap is cut at the strongest
-boundary near its middle and both halves are treated alike; then every piece but the first is
-extended backwards by ``overlap`` tokens, so that it shares exactly those with the piece before.
+boundary near its middle, or without one there at the boundary nearest to it, and both halves are
+treated alike; then every piece but the first is extended backwards by ``overlap`` tokens, so that
+it shares exactly those with the piece before.
 """
 
 from __future__ import annotations
@@ -47,7 +48,11 @@ def boundary_strengths(text: str, starts: list[int]) -> dict[int, int]:
 
 
 def cut_points(n: int, strengths: dict[int, int], room: int, overlap: int = 0) -> list[int]:
-    """Token numbers at which pieces begin; no piece exceeds ``room`` tokens, the first has more than ``overlap``."""
+    """Token numbers at which pieces begin.
+
+    No piece exceeds ``room`` tokens, but for the first, which has more than ``overlap`` as it gives
+    those to the next, and so ``overlap`` + 1 where ``room`` is no larger.
+    """
     if n <= room:
         return [0]
     order = sorted(strengths)
@@ -55,12 +60,15 @@ def cut_points(n: int, strengths: dict[int, int], room: int, overlap: int = 0) -
     while open_spans:
         low, high = open_spans.pop()
         size = high - low
-        if size <= room:
+        if size <= room or high <= overlap + 1:
             continue
         # The middle half of the span; in it the strongest boundary, of equals the one nearest the middle.
         middle, reach = low + size / 2, max(1, size // 4)
         least = max(low, overlap) + 1
         near = order[bisect_left(order, max(least, middle - reach)) : bisect_left(order, min(high, middle + reach + 1))]
+        if not near:  # the closest boundary on either side
+            at = bisect_left(order, middle)
+            near = [t for t in order[max(0, at - 1) : at + 1] if least <= t < high]
         cut = min(near, key=lambda t: (-strengths[t], abs(t - middle), t)) if near else max(least, low + size // 2)
         cuts.append(cut)
         open_spans += [(low, cut), (cut, high)]
@@ -70,11 +78,11 @@ def cut_points(n: int, strengths: dict[int, int], room: int, overlap: int = 0) -
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """Pieces of a text as (first character, end, first token, tokens).
 
-    A text within the limit is one piece.  The overlap is lowered where it would fill half the
-    limit, so that pieces always advance; a limit below 1 counts as 1.
+    A text within the limit is one piece.  An overlap as large as the limit is lowered to the limit
+    less 1, the most with which pieces advance; a limit below 1 counts as 1.
     """
     limit = max(1, limit)
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, min(overlap, limit - 1))
     starts = token_starts(text)
     n = len(starts)
     if n <= limit:

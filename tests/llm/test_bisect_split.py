@@ -13,7 +13,7 @@ TEXTS = st.text(st.sampled_from("ab1 \n#.,;。，中文\t-_é"), max_size=300)
 @settings(max_examples=300, deadline=None)
 def test_pieces_cover_share_and_fit(text, limit, overlap):
     pieces = split_text(text, limit, overlap)
-    shared = min(overlap, (limit - 1) // 2)
+    shared = min(overlap, limit - 1)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     starts = token_starts(text)
     for begin, end, first, n in pieces:
@@ -30,6 +30,17 @@ def test_cuts_at_the_strongest_boundary():
     assert begins[1].startswith("# Head")
 
 
+def test_overlap_of_more_than_half_the_limit_is_kept():
+    text = " ".join(f"w{i}" for i in range(60))
+    pieces = split_text(text, 10, 8)
+    assert all(one[2] + one[3] - two[2] == 8 and two[3] <= 10 for one, two in zip(pieces, pieces[1:])) and pieces[-1][1] == len(text)
+
+
+def test_a_far_boundary_is_better_than_none():
+    text = "字" * 3 + "。" + "字" * 16
+    assert [b - a for a, b, *_ in split_text(text, 18, 0)] == [4, 16]
+
+
 def test_rows(spark):
     config = spark.createDataFrame([("s", 5, 2), ("n", None, None), (None, 1, 0), ("s", 6, 0)], "shelf string, max_seq_length long, chunk_overlap long")
     doc = lambda t: json.dumps({"data": t, "extra": 1})
