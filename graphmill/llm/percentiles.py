@@ -1,10 +1,12 @@
-"""Exact percentiles of whole-number columns by bisection of value intervals.
+"""Exact percentiles of numeric columns by bisection of value intervals.
 
 For every group and percentile an interval of values that holds the wanted one is kept.  A pass
 counts the rows of the interval below its midpoints and keeps the part in which the target rank
 lies, until each interval is a single value.  A pass takes ``levels`` halvings at once: the
 midpoints of the halves, quarters and so on cut the interval into 2**levels equal parts, and one
-count of rows by part answers all of them.
+count of rows by part answers all of them.  Fractional values are bisected by their bit patterns,
+whole numbers in the same order as the values, so that these too are resolved in at most 64 / levels
+passes whatever their magnitudes.
 
 What a pass counts is additive: value counts (:func:`value_counts`) of separate runs or days are
 united with :func:`merge_counts` and give the same percentiles as their rows together.  Stopping
@@ -15,8 +17,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType, LongType
 
 from graphmill.session import materialise
 
@@ -26,9 +31,38 @@ BROADCAST_ROWS = 250_000
 SALTS = 32
 
 
+def _turn(bits: np.ndarray) -> np.ndarray:
+    """Bit patterns of doubles to whole numbers of the same order, and back: all but the sign of negative ones is flipped."""
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+@F.pandas_udf(LongType())
+def ordered(value: pd.Series) -> pd.Series:
+    """A whole number for each double, in the order of the doubles; 0 for null."""
+    return pd.Series(_turn(value.fillna(0.0).to_numpy(np.float64).view(np.int64)))
+
+
+@F.pandas_udf(DoubleType())
+def restored(number: pd.Series) -> pd.Series:
+    """The double that :func:`ordered` gave this number."""
+    return pd.Series(_turn(number.to_numpy(np.int64)).view(np.float64))
+
+
 def value_counts(df: DataFrame, group: Column, value: Column) -> DataFrame:
-    """``g, v, c``: how often each value occurs in each group.  Null groups and null values are left out."""
-    rows = df.select(group.alias("g"), value.cast("long").alias("v"))
+    """``g, v, c``: how often each value occurs in each group.
+
+    ``v`` is a long for whole numbers and a double for fractional ones; decimals must be cast to one
+    of these first, and columns of other types are an error.  Null groups, null values and NaN are
+    left out; -0.0 counts as 0.0.
+    """
+    rows = df.select(group.alias("g"), value.alias("v"))
+    kind = rows.schema["v"].dataType
+    if isinstance(kind, FloatType | DoubleType):
+        rows = rows.select("g", (F.col("v").cast("double") + F.lit(0.0)).alias("v")).where(~F.isnan("v"))
+    elif isinstance(kind, IntegralType):
+        rows = rows.select("g", F.col("v").cast("long").alias("v"))
+    else:
+        raise TypeError(f"{'cast the decimal' if isinstance(kind, DecimalType) else 'not a number'}: {kind.simpleString()}")
     return rows.where(F.col("g").isNotNull() & F.col("v").isNotNull()).groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -60,34 +94,39 @@ def _split_ranks(counts: DataFrame, intervals: DataFrame, levels: int) -> DataFr
     return held.select("_g", "q", "lo", "hi", (F.col("rank") - before).alias("rank"))
 
 
-def bisect_percentiles(counts: DataFrame, percents: list[int], min_rows: int = 1, levels: int = LEVELS, tolerance: int = 0) -> DataFrame:
+def bisect_percentiles(counts: DataFrame, percents: list[int], min_rows: int = 1, levels: int = LEVELS, tolerance: float = 0) -> DataFrame:
     """``g, q, n, lo, hi``: the value at position floor(n * q / 100), counted from 0, is in [lo, hi].
 
     With ``tolerance`` 0 ``lo`` equals ``hi`` and is the percentile; otherwise hi - lo is at most the
     tolerance.  ``percents`` are from 0 to 100; 100 gives the largest value.  Groups of fewer than
     ``min_rows`` values are left out.  Equal values are counted, not stored again; empty counts give
-    an empty result.  ``counts`` is read once a pass and should be cheap to read, as a table is.
+    an empty result.  ``lo`` and ``hi`` have the type of ``v``.  ``counts`` is read once a pass and
+    should be cheap to read, as a table is.
     """
     if any(not 0 <= q <= 100 for q in percents):
         raise ValueError(percents)
-    spark = counts.sparkSession
+    fractional = isinstance(counts.schema["v"].dataType, DoubleType)
+    if fractional:
+        counts = materialise(counts.select("g", ordered("v").alias("v"), "c"), "ordered")
+    wide = restored("hi") - restored("lo") if fractional and tolerance else _wide()
     sizes = counts.groupBy("g").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("n") >= min_rows)
     start = sizes.select(F.col("g").alias("_g"), F.explode(F.array(*[F.lit(q) for q in percents])).alias("q"), "n", "lo", "hi")
     start = start.withColumn("rank", F.least(F.expr("n * q div 100"), F.col("n") - 1))
     intervals = materialise(start, "intervals")
     sizes = intervals.select("_g", "q", "n")
-    done = intervals.where(_wide() <= tolerance).drop("n")
-    intervals = intervals.where(_wide() > tolerance).drop("n")
+    done = intervals.where(wide <= tolerance).drop("n")
+    intervals = intervals.where(wide > tolerance).drop("n")
     left = intervals.count()
     while left:
         small = left <= BROADCAST_ROWS
         salted = counts.withColumn("_salt", F.lit(0) if small else F.pmod(F.hash("v"), F.lit(SALTS)))
         spread = intervals.withColumn("_salt", F.lit(0) if small else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         narrowed = materialise(_split_ranks(salted, F.broadcast(spread) if small else spread, levels), "intervals")
-        done = done.unionByName(narrowed.where(_wide() <= tolerance))
-        intervals = narrowed.where(_wide() > tolerance)
+        done = done.unionByName(narrowed.where(wide <= tolerance))
+        intervals = narrowed.where(wide > tolerance)
         left = intervals.count()
-    return done.join(sizes, ["_g", "q"]).select(F.col("_g").alias("g"), "q", "n", "lo", "hi")
+    lo, hi = (restored("lo"), restored("hi")) if fractional else (F.col("lo"), F.col("hi"))
+    return done.join(sizes, ["_g", "q"]).select(F.col("_g").alias("g"), "q", "n", lo.alias("lo"), hi.alias("hi"))
 
 
 def tidy_type(column: str) -> Column:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphmill.llm import percentiles as p
@@ -22,6 +23,23 @@ def test_exact_and_mergeable(spark):
             assert r["lo"] == r["hi"] == vs[min(len(vs) * q // 100, len(vs) - 1)] and r["n"] == len(vs)
 
 
+def test_fractional_values(spark):
+    rnd = random.Random(8)
+    groups = {"tenths": [i / 10 for i in range(1, 10)], "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.randrange(-300, 300) for _ in range(200)], "few": [-0.0, 0.0, -1.5, float("inf"), float("-inf")]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("tenths", float("nan")), ("tenths", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = p.merge_counts(p.value_counts(df.where("g <> 'few'"), F.col("g"), F.col("v")), p.value_counts(df.where("g = 'few'"), F.col("g"), F.col("v")))
+    got = {(r["g"], r["q"]): r for r in p.bisect_percentiles(counts, [0, 50, 90]).collect()}
+    for (g, q), r in got.items():
+        vs = sorted(groups[g])
+        assert r["lo"] == r["hi"] == vs[len(vs) * q // 100] and r["n"] == len(vs)
+    assert len(got) == 9
+    near = p.bisect_percentiles(p.value_counts(df.where("g = 'tenths'"), F.col("g"), F.col("v")), [50], levels=3, tolerance=0.25).first()
+    assert near["lo"] <= 0.5 <= near["hi"] <= near["lo"] + 0.25
+    with pytest.raises(TypeError):
+        p.value_counts(df.select("g", F.col("v").cast("decimal(20,4)").alias("v")), F.col("g"), F.col("v"))
+
+
 def test_tolerance_bounds_the_error(spark):
     df = spark.range(1000).select(F.lit(1).alias("g"), (F.col("id") * 977).alias("v"))
     counts = p.value_counts(df, F.col("g"), F.col("v"))
