@@ -10,17 +10,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.plans.shards import running_totals
+from graphmill.plans.shards import attach, row_numbers, running_totals
 from graphmill.session import materialise
 
 ROWS_PER_SHARD = 25_000
 
 
 def mean_ranks(scored: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """``_g, _v`` (a score for each item) to ``_g, _v, _rank``: one row per different score of a group.
+    """``_g, _v`` (a score for each item) to ``_g, _v, _c, _rank``: one row per different score of a group, with its items.
 
     Ranks rise from the smallest score; equal ones share the mean place.  Scores are counted before
     they are ordered, and a group with many different scores is ordered in shards, so the size of a
@@ -28,7 +28,7 @@ def mean_ranks(scored: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataF
     """
     values = scored.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = running_totals(values, ["_g"], "_v", "_c", rows_per_shard)
-    return placed.select("_g", "_v", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("_rank"))
+    return placed.select("_g", "_v", "_c", (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("_rank"))
 
 
 def borda(scores: list[tuple[DataFrame, Column, Column, Column]], weights: list[float] | None = None, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
@@ -50,12 +50,13 @@ def borda(scores: list[tuple[DataFrame, Column, Column, Column]], weights: list[
         long.append(rows.where(F.col("_g").isNotNull() & F.col("_item").isNotNull()).select("_g", "_item", *[(F.col("_v") if i == j else F.lit(None).cast("double")).alias(f"_v{j}") for j in range(len(scores))]))
     items = reduce(DataFrame.unionByName, long).groupBy("_g", "_item").agg(*[F.min(f"_v{j}").alias(f"_v{j}") for j in range(len(scores))])
     items = materialise(items, "items")  # read by the sizes, every score's ranks and the sum
-    sizes = items.groupBy("_g").agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.count(f"_v{j}").alias(f"_n{j}") for j in range(len(scores))])
+    sizes = items.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), *[F.count(f"_v{j}").alias(f"_n{j}") for j in range(len(scores))])
     points, found = F.lit(0.0), F.lit(0)
-    ranked = items.join(sizes, "_g")
+    ranked = attach(items, sizes, ["_g"], "_n", "_item")
     for j, weight in enumerate(weights):
         ranks = mean_ranks(items.where(F.col(f"_v{j}").isNotNull()).select("_g", F.col(f"_v{j}").alias("_v")), rows_per_shard)
-        ranked = ranked.join(ranks.select("_g", F.col("_v").alias(f"_v{j}"), F.col("_rank").alias(f"_r{j}")), ["_g", f"_v{j}"], "left")
+        ranks = ranks.select("_g", F.col("_v").alias(f"_v{j}"), F.col("_c").alias(f"_c{j}"), F.col("_rank").alias(f"_r{j}"))
+        ranked = attach(ranked, ranks, ["_g", f"_v{j}"], f"_c{j}", "_item")
         missing = (F.col(f"_n{j}") + 1 + F.col("_n")) / 2.0
         points = points + F.lit(float(weight)) * (F.col("_n") - F.coalesce(f"_r{j}", missing))
         found = found + F.col(f"_v{j}").isNotNull().cast("int")
@@ -71,7 +72,7 @@ def first_of(ranking: DataFrame) -> DataFrame:
 def positions(ranking: DataFrame) -> DataFrame:
     """The whole ranking with its place in the group: ``group, item, points, found_in, place``.
 
-    Places count items with more points, and among equal points items with a smaller identifier:
-    groups are ordered by Spark's sort, which spills; one group is one task's sort.
+    Places count items with more points, and among equal points items with a smaller identifier; a
+    large group is numbered in stretches.
     """
-    return ranking.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("points"), "item")))
+    return row_numbers(ranking, ["group"], [F.desc("points"), F.col("item")], "place")

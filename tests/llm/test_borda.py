@@ -46,6 +46,30 @@ def test_matches_brute_force_in_one_and_in_many_shards(spark):
         assert {(r["group"], r["item"]): r["points"] for r in got.collect()} == true
 
 
+def test_hot_groups_and_scores_are_split(spark, monkeypatch):
+    """With nothing broadcast but what is hot the rows are the same; a large group is numbered over many partitions."""
+    from graphmill.plans import shards
+
+    monkeypatch.setattr(shards, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shards, "HOT_ROWS", 5)
+    got, true = run(spark, 7)
+    ranked = positions(got).collect()
+    assert {(r["group"], r["item"]): r["points"] for r in ranked} == true
+    for g in ("hot", "q1", "q2"):
+        own = sorted((r for r in ranked if r["group"] == g), key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+        assert [r["item"] for r in own] == [i for _, i in sorted((-p, i) for (h, i), p in true.items() if h == g)]
+
+
+def test_one_group_of_a_million(spark):
+    rows = spark.range(1_000_000).select(F.lit("q").alias("g"), F.col("id").cast("string").alias("k"), (F.col("id") % 1000).alias("v"))
+    ranking = borda([(rows, F.col("g"), F.col("k"), F.col("v")), (rows.where("v < 10"), F.col("g"), F.col("k"), F.lit(1))])
+    places = positions(ranking)
+    assert places.rdd.getNumPartitions() > 1
+    r = places.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.min_by("item", "place"), F.max_by("item", "place")).first()
+    assert tuple(r) == (1_000_000, 1, 1_000_000, "0", "999999")
+
+
 def test_first_ties_and_places(spark):
     df = spark.createDataFrame([("q", "b", 1.0), ("q", "a", 1.0), ("q", "c", 2.0), ("q", "c", 2.0)], "g string, k string, v double")
     ranking = borda([(df, F.col("g"), F.col("k"), F.col("v"))])
