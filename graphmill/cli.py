@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import shlex
-import shutil
 import sys
 from pathlib import Path
 
@@ -141,7 +140,7 @@ def run(space: Workspace, args: argparse.Namespace) -> str:
             if path is None:
                 return f"Archive '{args.name}' not found."
             if args.output:
-                shutil.copyfile(path, args.output)
+                shelf.files.download(path, args.output)
             return f"Copied to: {args.output}" if args.output else str(path)
         case "archive-list":
             files = shelf.list_archives()

@@ -31,3 +31,7 @@ class ModelUnavailable(GraphmillError):
 
 class ValidationError(GraphmillError):
     """An argument is out of range."""
+
+
+class ConfigurationError(GraphmillError):
+    """A setting that a cluster needs is missing."""

@@ -116,6 +116,11 @@ def archive_path(figure: str) -> str | None:
     return figure.removeprefix(ARCHIVE) if figure.startswith(ARCHIVE) else None
 
 
+def archive_column(figure: Column) -> Column:
+    """:func:`archive_path` over a column."""
+    return F.when(F.startswith(figure, F.lit(ARCHIVE)), F.substring(figure, F.lit(len(ARCHIVE) + 1), F.length(figure)))
+
+
 _STRINGS = "array<string>"
 
 

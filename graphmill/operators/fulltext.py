@@ -1,8 +1,10 @@
 """Ranked full-text search: an inverted index as DataFrames, boolean queries, weighted BM25.
 
-The index has three tables: ``postings`` (term, doc_id, tokens, column, position; ``tokens`` is the
-document's length), ``docs`` (doc_id, catalog, key, content) and one row of corpus statistics.  Terms
-are folded and, if asked, stemmed once for each different word of a batch.  A query touches the postings of its own terms.
+The index has the tables ``postings`` (term, doc_id, tokens, column, position; ``tokens`` is the
+document's length) and ``docs`` (doc_id, catalog, key, content, tokens), and one row of corpus
+statistics; a saved one also ``terms``, with the number of documents of each.  Terms are folded and,
+if asked, stemmed once for each different word of a batch.  A query touches the postings of its own
+terms.  Documents that have changed since are set apart by :meth:`FullTextIndex.changed`.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 from graphmill.errors import ParseError
 from graphmill.functions.content import joined, synonyms, tags
 from graphmill.functions.stemming import fold, fold_column, porter, stem_column
+from graphmill.session import materialise
 
 #: Column weights and the constants of BM25.
 WEIGHTS = {"key": 10.0, "data": 1.0, "tags": 5.0, "synonyms": 3.0}
 K1, B = 1.2, 0.75
+#: Documents of a word whose postings one task writes.
+HOT_POSTINGS = 100_000
 LEAST_IDF = 1e-6
 #: Fixed value: punctuation that a query's text loses.
 PUNCTUATION = ":\"'*^+-().?!,/`{}[]~@#%;&|<>"
@@ -70,6 +75,8 @@ class FullTextIndex:
     stem: bool
     weights: dict[str, float]
     buckets: int | None = None
+    terms: DataFrame | None = None
+    cut: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, stem: bool = True, texts: dict[str, Column] | None = None, weights: dict[str, float] | None = None) -> FullTextIndex:
@@ -79,31 +86,70 @@ class FullTextIndex:
         :func:`fields`.  The document number is a hash of catalog and key.
         """
         texts = texts or fields(F.col("key"), F.col("content"))
-        doc_id = F.xxhash64("catalog", "key").alias("doc_id")
         tokens = F.array(*[F.struct(F.lit(n).alias("column"), F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1)).alias("words")) for n, t in texts.items()])
+        cut = docs.select(F.xxhash64("catalog", "key").alias("doc_id"), "catalog", "key", "content", tokens.alias("texts"))
+        return cls._of(cut, stem, weights or WEIGHTS)
+
+    @classmethod
+    def _of(cls, cut: DataFrame, stem: bool, weights: dict[str, float]) -> FullTextIndex:
+        """The index of documents whose texts are cut into words."""
         size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.size(t["words"]))
-        cut = docs.select(doc_id, tokens.alias("texts")).select("doc_id", "texts", size.alias("tokens"))
-        raw = cut.select("doc_id", "tokens", F.inline("texts")).select("doc_id", "tokens", "column", F.posexplode("words").alias("position", "raw"))
+        sized = cut.withColumn("tokens", size)
+        raw = sized.select("doc_id", "tokens", F.inline("texts")).select("doc_id", "tokens", "column", F.posexplode("words").alias("position", "raw"))
         postings = raw.withColumn("term", (stem_column if stem else fold_column)("raw")).select("term", "doc_id", "tokens", "column", "position")
-        listed = docs.select(doc_id, "catalog", "key", "content")
-        stats = cut.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("tokens").alias("mean_tokens"))
-        return cls(postings, listed, stats, stem, weights or WEIGHTS)
-
-    def save(self, path: str, buckets: int = 64, spread: int = 8) -> FullTextIndex:
-        """Write the index, postings in files by a hash of the term, and open it."""
-        bucketed = self.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-        # A frequent word's postings are spread over partitions by document, within which they lie in order.
-        bucketed.repartition(F.col("bucket"), F.pmod(F.hash("doc_id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, "postings"))
-        self.docs.write.mode("overwrite").parquet(os.path.join(path, "docs"))
-        self.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(os.path.join(path, "stats"))
-        return FullTextIndex.load(self.docs.sparkSession, path, self.stem, self.weights)
+        stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("tokens").alias("mean_tokens"))
+        return cls(postings, sized.select("doc_id", "catalog", "key", "content", "tokens"), stats, stem, weights, cut=cut)
+
+    def save(self, path: str, buckets: int = 16) -> FullTextIndex:
+        """Write the index, postings in folders by a hash of the term, and open it.
+
+        Within a folder they lie in the order of term and document; those of a word in more than
+        ``HOT_POSTINGS`` documents are spread over tasks by document.
+        """
+        spark = self.docs.sparkSession
+        once = self if self.cut is None else FullTextIndex._of(materialise(self.cut, "cut"), self.stem, self.weights)
+        postings = materialise(once.postings, "postings")
+        terms = postings.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"))
+        bucket = F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket")
+        terms.select("term", "docs", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(os.path.join(path, "terms"))
+        terms = spark.read.parquet(os.path.join(path, "terms"))
+        # Fewer than all postings / HOT_POSTINGS.
+        hot = terms.where(F.col("docs") > HOT_POSTINGS).select("term", F.ceil(F.col("docs") / HOT_POSTINGS).alias("parts"))
+        placed = postings.join(F.broadcast(hot), "term", "left").withColumn("part", F.pmod(F.hash("doc_id"), F.coalesce("parts", F.lit(1)))).withColumn("bucket", bucket)
+        placed.repartition("bucket", "part").drop("part", "parts").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(os.path.join(path, "postings"))
+        once.docs.write.parquet(os.path.join(path, "docs"))
+        once.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(path, mode="append")
+        return FullTextIndex.load(spark, path, self.stem, self.weights)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, weights: dict[str, float] | None = None) -> FullTextIndex:
-        postings, docs, stats = (spark.read.parquet(os.path.join(path, part)) for part in ("postings", "docs", "stats"))
-        return cls(postings, docs, stats, stem, weights or WEIGHTS, stats.first()["buckets"])
-
-    def terms(self, word: str) -> list[str]:
+        """Open a saved index.  Its statistics are written last, so an index without them is not complete."""
+        stats = spark.read.schema("n_docs double, mean_tokens double, buckets int").option("recursiveFileLookup", False).parquet(os.path.join(path, "*.parquet"))
+        schemas = {
+            "postings": "term string, doc_id long, tokens long, column string, position int, bucket int",
+            "docs": "doc_id long, catalog string, key string, content string, tokens long",
+            "terms": "term string, docs long, bucket int",
+        }
+        postings, docs, terms = (spark.read.schema(schemas[part]).parquet(os.path.join(path, part)) for part in ("postings", "docs", "terms"))
+        known = stats.first()
+        return cls(postings, docs, spark.createDataFrame([known]), stem, weights or WEIGHTS, known["buckets"], terms)
+
+    def changed(self, keys: DataFrame, docs: DataFrame) -> FullTextIndex:
+        """The index after a change: ``catalog, key`` of documents whose entries no longer hold, and those that replace them.
+
+        Both should be small and cheap to read again.  Searches count documents anew, as the counts kept are of before.
+        """
+        gone = keys.select(F.xxhash64("catalog", "key").alias("doc_id")).distinct()
+        fresh = FullTextIndex.build(docs, self.stem, None, self.weights)
+        postings = fresh.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(self.buckets)))
+        kept = self.postings.join(gone, "doc_id", "left_anti")
+        tokens = lambda of, sign: of.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum("tokens"), F.lit(0))).alias("t"))
+        before = self.stats.select(F.col("n_docs").alias("n"), (F.col("n_docs") * F.coalesce("mean_tokens", F.lit(0.0))).alias("t"))
+        sums = before.unionByName(tokens(self.docs.join(gone, "doc_id", "left_semi"), -1)).unionByName(tokens(fresh.docs, 1))
+        stats = sums.agg(F.sum("n").alias("n_docs"), (F.sum("t") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean_tokens"))
+        return FullTextIndex(kept.select(*postings.columns).unionByName(postings), self.docs.join(gone, "doc_id", "left_anti").unionByName(fresh.docs), stats, self.stem, self.weights, self.buckets)
+
+    def terms_of(self, word: str) -> list[str]:
         found = [fold(t) for t in re.findall(r"[^\W_]+", _keep_marks(word.lower()))]
         return [porter(t) for t in found] if self.stem else found
 
@@ -112,7 +158,7 @@ class FullTextIndex:
 
         Rows of equal rank come in the order of catalog and key.  ``limit`` None gives all matches.
         """
-        tree, phrases = parse_search(text, self.terms)
+        tree, phrases = parse_search(text, self.terms_of)
         ranked = self._ranked(tree, phrases)
         only = self.docs if catalog is None else self.docs.where(F.col("catalog") == catalog)
         if limit is not None:  # contents are fetched for the page only
@@ -126,14 +172,22 @@ class FullTextIndex:
             return self.docs.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("rank"))
         rows = self.postings.where(F.col("term").isin(wanted))
         if self.buckets:  # folded to numbers by the optimiser: only their folders are read
-            rows = rows.where(F.col("bucket").isin([F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in wanted]))
+            rows = rows.where(F.col("bucket").isin(self._folders(wanted)))
         weight = reduce(lambda c, kv: c.when(F.col("column") == kv[0], F.lit(kv[1])), self.weights.items(), F.when(F.lit(False), 0.0))
         hits = reduce(DataFrame.unionByName, [self._phrase(rows, p).select("doc_id", "tokens", F.lit(i).alias("phrase"), weight.alias("w")) for i, p in enumerate(phrases)])
         per = hits.groupBy("doc_id", "tokens").agg(*[F.sum(F.when(F.col("phrase") == i, F.col("w"))).alias(f"tf{i}") for i in range(len(phrases))])
-        found_in = per.agg(*[F.count(f"tf{i}").cast("double").alias(f"n{i}") for i in range(len(phrases))])
-        one = F.lit(1).alias("_one")
-        stats = self.stats.select(one, "*").join(found_in.select(one, "*"), "_one")
-        scored = per.select(one, "*").join(F.broadcast(stats), "_one")
+        if self.terms is not None and all(len(p) == 1 for p in phrases):
+            # Kept with the index: one row for each word of the query.
+            near = self.terms.where(F.col("term").isin(wanted) & F.col("bucket").isin(self._folders(wanted)))
+            docs = {r["term"]: r["docs"] for r in near.collect()}
+            counts = {f"n{i}": F.lit(float(docs.get(p[0], 0))) for i, p in enumerate(phrases)}
+            stats = self.stats.first()
+            scored = per.withColumns(counts | {"n_docs": F.lit(stats["n_docs"]), "mean_tokens": F.lit(stats["mean_tokens"])})
+        else:
+            found_in = per.agg(*[F.count(f"tf{i}").cast("double").alias(f"n{i}") for i in range(len(phrases))])
+            one = F.lit(1).alias("_one")
+            stats = self.stats.select(one, "n_docs", "mean_tokens").join(found_in.select(one, "*"), "_one")
+            scored = per.select(one, "*").join(F.broadcast(stats), "_one")
         rank = F.lit(0.0)
         counted = dict(_counted(tree, lambda i: F.col(f"tf{i}").isNotNull(), F.lit(True)))
         for i in range(len(phrases)):
@@ -144,6 +198,9 @@ class FullTextIndex:
         holds = _holds(tree, lambda i: F.col(f"tf{i}").isNotNull())
         return scored.where(holds).select("doc_id", rank.alias("rank"))
 
+    def _folders(self, terms: list[str]) -> list[Column]:
+        return [F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in terms]
+
     @staticmethod
     def _phrase(rows: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
         """Every place where the words of a phrase follow each other."""

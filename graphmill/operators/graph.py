@@ -7,33 +7,47 @@ from pyspark.sql import functions as F
 
 from graphmill.session import materialise
 
-#: Levels planned in one go before the frontier is written down and looked at.
-LEVELS_AT_ONCE = 3
+#: Nodes of a level that are looked up by value, which reaches the scan; beyond, the frontier is a table.
+FEW = 1_000
+#: Frontiers are broadcast up to this many nodes; beyond, the join shuffles.
+BROADCAST_NODES = 500_000
 
 
 def k_hop(statements: DataFrame, start: str, predicate: str | None, depth: int) -> DataFrame:
     """``triple, hops``: statements within ``depth`` forward steps of ``start``, with the fewest steps.
 
-    Each level joins the frontier's nodes, each node once, so cycles and parallel paths add no rows.
-    With ``predicate`` every step must have it.
+    Each level looks up the frontier's nodes, each node once, so cycles and parallel paths add no
+    rows.  With ``predicate`` every step must have it.  A small frontier is a filter on the subject,
+    which skips the files and row groups of a table in that order; a larger one is written down,
+    counted and joined.
     """
     edges = statements.select("triple", "subject", "predicate", "object").where(F.col("triple").isNotNull())
     if predicate is not None:
         edges = edges.where(F.col("predicate") == predicate)
     edges = edges.select("triple", F.col("subject").alias("_from"), F.col("object").alias("_to"))
-    level = edges.where(F.col("_from") == start).withColumn("hops", F.lit(1))
-    reached, visited = level, None
+    level = edges.where(F.col("_from") == start)
+    reached = level.select("triple", F.lit(1).alias("hops"))
+    seen: list[str] = [start]
+    visited: DataFrame | None = None
     for hop in range(2, depth + 1):
-        frontier = level.select(F.col("_to").alias("_from")).where(F.col("_from") != start).distinct()
-        frontier = frontier if visited is None else frontier.join(visited, "_from", "left_anti")
-        if (hop - 1) % LEVELS_AT_ONCE == 0:
-            frontier = materialise(frontier, "frontier")
-            if frontier.isEmpty():
+        nodes = level.select(F.col("_to").alias("_from")).where(F.col("_from").isNotNull()).distinct()
+        nodes = nodes.where(~F.col("_from").isin(seen)) if visited is None else nodes.join(visited, "_from", "left_anti")
+        some = [r[0] for r in nodes.limit(FEW + 1).collect()] if visited is None else None
+        if some is not None and len(some) <= FEW and len(seen) + len(some) <= 2 * FEW:
+            if not some:
                 break
-            reached = materialise(reached, "reached")
-        visited = frontier if visited is None else visited.unionByName(frontier)
-        level = edges.join(frontier, "_from", "left_semi").withColumn("hops", F.lit(hop))
-        reached = reached.unionByName(level)
+            seen += some
+            level = edges.where(F.col("_from").isin(some))
+        else:
+            frontier = materialise(nodes, "frontier")
+            n = frontier.count()
+            if not n:
+                break
+            if visited is None:
+                visited = statements.sparkSession.createDataFrame([(v,) for v in seen], "_from string")
+            visited = visited.unionByName(frontier)
+            level = materialise(edges.join(F.broadcast(frontier) if n <= BROADCAST_NODES else frontier, "_from", "left_semi"), "level")
+        reached = reached.unionByName(level.select("triple", F.lit(hop).alias("hops")))
     return reached.groupBy("triple").agg(F.min("hops").alias("hops"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
@@ -28,11 +29,11 @@ class Embedder(Protocol):
 
 @dataclass
 class Tables:
-    """What a query runs over.  Each key occurs once; the index covers both tables."""
+    """What a query runs over.  Each key occurs once; the index covers both tables and may be a function that opens it."""
 
     knowledge: DataFrame | None = None
     statement: DataFrame | None = None
-    index: FullTextIndex | None = None
+    index: FullTextIndex | Callable[[], FullTextIndex] | None = None
     embedder: Embedder | None = None
 
     def of(self, target: str) -> DataFrame:
@@ -45,7 +46,7 @@ class Tables:
         if self.index is None:
             docs = [shape(t) for t, shape in ((self.knowledge, knowledge_docs), (self.statement, statement_docs)) if t is not None]
             self.index = FullTextIndex.build(docs[0] if len(docs) == 1 else docs[0].unionByName(docs[1]))
-        return self.index
+        return self.index() if callable(self.index) else self.index
 
     def vector(self, text: str) -> Sequence[float]:
         if self.embedder is None:
@@ -53,6 +54,21 @@ class Tables:
         return self.embedder.embed(text)
 
 
+@dataclass
+class Answer:
+    """The rows of a query and how many they are: those returned, after limit and offset."""
+
+    rows: DataFrame
+
+    @cached_property
+    def total_count(self) -> int:
+        return self.rows.count()
+
+    def counted(self) -> DataFrame:
+        """The rows with ``total_count``."""
+        return self.rows.join(F.broadcast(self.rows.agg(F.count(F.lit(1)).alias("total_count"))))
+
+
 def nearest(table: DataFrame, key: str, vector: Sequence[float], limit: int) -> DataFrame:
     """``<key>, content, distance`` of the closest rows by cosine; zero vectors come last, rows without vector never."""
     rows = table.where(F.col("embedding").isNotNull()).select(key, "content", cosine_distance(F.col("embedding"), vector).alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphmill.errors import ConfigurationError
+
 
 def local_session(cpus: int | str = 8, app: str = "graphmill", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -55,7 +58,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is set.
+    Only where that setting is absent and Spark runs on one machine, as in tests, a temporary folder
+    is set; on a cluster that would not be seen by others, and is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -63,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="graphmill-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)

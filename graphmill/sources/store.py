@@ -1,18 +1,22 @@
 """A shelf: a folder with knowledge, statements, a search index and archived files.
 
-Each table is an append-only log of Parquet files.  A row is a whole state of its key (or its
-deletion) with the number of its batch; the newest wins.  Writing a batch is one append, reading
-the state one aggregation with map-side combine; :meth:`Shelf.compact` rewrites the log.
+Each table has a base, Parquet files of unique keys in the order of their keys, and a log of
+batches written since: whole states of keys, or their deletion, the newest counting.  Reading the
+state joins the keys of the log against the base, so filters and columns reach the base's scan;
+writing a batch is one append; :meth:`Shelf.compact` writes a new base.  Every base and batch is a
+folder that counts from the moment its job has ended (``_SUCCESS``), and folders are never changed:
+a crash leaves the old state or the new one.  The search index is kept in the same way and
+brought up to date by what the log says has changed.
+
+Paths are those of Spark's own file systems; nothing but single archived files passes the driver.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import time
 from collections.abc import Sequence
 from datetime import UTC, datetime
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +28,26 @@ from graphmill.functions.content import Content, embedding_text, triple_key
 from graphmill.functions.vectors import vector_literal
 from graphmill.operators.fulltext import FullTextIndex, knowledge_docs, statement_docs
 from graphmill.plans.compile import KEY
-from graphmill.plans.execute import Tables, execute, similar
-from graphmill.session import ship_package
+from graphmill.plans.execute import Answer, Tables, execute, similar
+from graphmill.session import materialise, ship_package
+from graphmill.sources.files import Files
 
 COLUMNS = {
     "knowledge": "name string, content string, created_at timestamp_ntz, embedding array<float>",
     "statement": "triple string, subject string, predicate string, object string, content string, created_at timestamp_ntz, tr_start timestamp_ntz, tr_end timestamp_ntz, embedding array<float>",
 }
 LOG = "seq long, op string, "
+#: Rows of a base lie in this order, so that scans by these columns skip most files and row groups.
+ORDER = {"knowledge": ["name"], "statement": ["subject", "predicate", "object", "triple"]}
+#: The search index is written anew when more rows than this share of it, and than this many, have changed.
+STALE_SHARE, STALE_ROWS = 0.1, 10_000
+BROADCAST_KEYS = 1_000_000
+#: Texts that an embedder gets at once.
+EMBED_BATCH = 64
+
+
+def _names(table: str) -> list[str]:
+    return [c.split()[0] for c in COLUMNS[table].split(", ")]
 
 
 def latest(rows: DataFrame, key: str, order: str, columns: list[str] | None = None) -> DataFrame:
@@ -45,28 +61,68 @@ def latest(rows: DataFrame, key: str, order: str, columns: list[str] | None = No
     return best.select(key, "_s.*")
 
 
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """:func:`latest` where few keys are repeated: only the rows of those keys are shuffled."""
+    repeated = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key), "repeated")
+    hint = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+    once = rows.where(F.col(key).isNotNull()).join(hint, key, "left_anti")
+    return once.unionByName(latest(rows.join(hint, key, "left_semi"), key, order))
+
+
 class Shelf:
     """One folder of tables.  ``embedder`` turns text into vectors, where there is one."""
 
     def __init__(self, spark: SparkSession, path: str | os.PathLike, name: str | None = None, embedder=None):
         ship_package(spark)
-        self.spark, self.path, self.embedder = spark, Path(path), embedder
-        self.name = name or self.path.name or "default"
-        (self.path / "archives").mkdir(parents=True, exist_ok=True)
-        self._index: FullTextIndex | None = None
+        self.spark, self.path, self.embedder = spark, str(path).rstrip("/"), embedder
+        self.name = name or os.path.basename(self.path) or "default"
+        self.files = Files(spark)
+        self.files.make(self._in("archives"))
+        self._index: tuple[int, FullTextIndex] | None = None
+        self._stamp = 0
 
     # tables
 
-    def _log(self, table: str) -> DataFrame:
-        folder = self.path / table
-        schema = LOG + COLUMNS[table]
-        if not folder.exists():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(folder))
+    def _in(self, *parts: str) -> str:
+        return "/".join([self.path, *parts])
+
+    def _complete(self, folder: str, prefix: str) -> list[tuple[int, str]]:
+        """(number, path) of the folders ``<prefix><number>`` whose writing has ended, the newest last."""
+        found = [(int(e.name.removeprefix(prefix)), e.path) for e in self.files.list(folder) if e.is_folder and e.name.startswith(prefix) and e.name.removeprefix(prefix).isdigit()]
+        return sorted((n, p) for n, p in found if self.files.exists(f"{p}/_SUCCESS"))
+
+    def _bases(self, table: str) -> list[tuple[int, str]]:
+        return self._complete(self._in(table), "base-")
+
+    def _batches(self, table: str, after: int = 0) -> list[tuple[int, str]]:
+        return [(n, p) for n, p in self._complete(self._in(table, "log"), "") if n > after]
+
+    def _now(self) -> int:
+        """A number greater than all before it."""
+        self._stamp = max(time.time_ns(), self._stamp + 1)
+        return self._stamp
+
+    def version(self) -> int:
+        """The number of the last change; 0 for an empty shelf."""
+        return max([0, *[n for t in KEY for n, _ in [*self._bases(t)[-1:], *self._batches(t)[-1:]]]])
+
+    def _changes(self, table: str, after: int) -> DataFrame | None:
+        """The newest state of every key changed after a version: ``op`` and the table's columns."""
+        batches = self._batches(table, after)
+        if not batches:
+            return None
+        log = self.spark.read.schema(LOG + COLUMNS[table]).parquet(*[p for _, p in batches])
+        return latest(log, KEY[table], "seq").drop("seq")
 
     def table(self, table: str) -> DataFrame:
         """The current state of ``knowledge`` or ``statement``."""
-        return latest(self._log(table), KEY[table], "seq").where(F.col("op") == "put").drop("seq", "op")
+        bases = self._bases(table)
+        base = self.spark.read.schema(COLUMNS[table]).parquet(bases[-1][1]) if bases else None
+        changed = self._changes(table, bases[-1][0] if bases else 0)
+        if changed is None:
+            return base if base is not None else self.spark.createDataFrame([], COLUMNS[table])
+        put = changed.where(F.col("op") == "put").select(*_names(table))
+        return put if base is None else base.join(changed.select(KEY[table]), KEY[table], "left_anti").select(*_names(table)).unionByName(put)
 
     @property
     def knowledge(self) -> DataFrame:
@@ -77,15 +133,24 @@ class Shelf:
         return self.table("statement")
 
     def _append(self, table: str, rows: DataFrame, op: str = "put") -> None:
-        names = [c.split()[0] for c in COLUMNS[table].split(", ")]
-        stamped = rows.select(F.lit(time.time_ns()).alias("seq"), F.lit(op).alias("op"), *[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names])
+        seq = self._now()
+        stamped = rows.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), *[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in _names(table)])
         wanted = self.spark.createDataFrame([], LOG + COLUMNS[table]).schema
-        stamped.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.mode("append").parquet(str(self.path / table))
-        self._index = None
+        stamped.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.parquet(self._in(table, "log", str(seq)))
+
+    def _write_base(self, table: str, rows: DataFrame, version: int) -> None:
+        wanted = self.spark.createDataFrame([], COLUMNS[table]).schema
+        typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+        typed.repartitionByRange(*ORDER[table]).sortWithinPartitions(*ORDER[table]).write.parquet(self._in(table, f"base-{version}"))
+
+    def load(self, table: str, rows: DataFrame, order: str = "created_at") -> None:
+        """Fill an empty table: of rows with the same key the one of the greatest ``order`` counts; null keys are left out."""
+        if self._bases(table) or self._batches(table):
+            raise AlreadyExists(f"{table} is not empty")
+        self._write_base(table, newest(rows, KEY[table], order), self._now())
 
     def _one(self, table: str, values: dict) -> DataFrame:
-        names = [c.split()[0] for c in COLUMNS[table].split(", ")]
-        return self.spark.createDataFrame([tuple(values.get(n) for n in names)], COLUMNS[table])
+        return self.spark.createDataFrame([tuple(values.get(n) for n in _names(table))], COLUMNS[table])
 
     # rows
 
@@ -108,6 +173,11 @@ class Shelf:
             raise AlreadyExists(f"{table} {clash[0]!r} exists")
         self._append(table, rows)
 
+    def put_many(self, table: str, rows: DataFrame) -> None:
+        """Write whole states of keys, known or new; of a repeated key the greatest row counts, null keys are left out."""
+        key = KEY[table]
+        self._append(table, latest(rows.withColumn("_same", F.lit(0)), key, "_same").drop("_same"))
+
     def _embed(self, text: str) -> list[float] | None:
         """The vector of a text; None where there is no model or it fails."""
         try:
@@ -172,47 +242,86 @@ class Shelf:
             text = embedding_text(F.col(key), F.col("content"))
             valid = F.get_json_object("content", "$.tags").isNotNull()
             rows = missing.withColumn("_text", F.when(valid, text))
-            done = embed_column(rows, "_text", self.embedder).drop("_text").persist()
+            done = materialise(embed_column(rows, "_text", self.embedder).drop("_text"), "embedded")
             counts = done.agg(F.count("embedding"), F.count(F.lit(1))).first()
             totals["created"] += counts[0]
             totals["errors"] += counts[1] - counts[0]
             if counts[0]:
                 self._append(table, done.where(F.col("embedding").isNotNull()))
-            done.unpersist()
         return totals
 
     def compact(self) -> None:
-        """Rewrite both logs as their current state, ordered for scans by subject and predicate."""
+        """Write the current state of both tables as their new base.
+
+        What the new base replaces is kept until the next time, for queries that are still running.
+        """
         for table in KEY:
-            if not (self.path / table).exists():
+            bases, batches = self._bases(table), self._batches(table)
+            if not batches or bases and batches[-1][0] <= bases[-1][0]:
                 continue
-            fresh = self.path / f".{table}-{time.time_ns()}"
-            state = latest(self._log(table), KEY[table], "seq").where(F.col("op") == "put")
-            order = ["predicate", "subject"] if table == "statement" else ["name"]
-            state.select("seq", "op", *[c.split()[0] for c in COLUMNS[table].split(", ")]).sortWithinPartitions(*order).write.parquet(str(fresh))
-            old = self.path / f".{table}-old"
-            os.rename(self.path / table, old)
-            os.rename(fresh, self.path / table)
-            shutil.rmtree(old)
+            self._write_base(table, self.table(table), batches[-1][0])
+            kept = bases[-1][0] if bases else 0
+            for number, path in [*bases[:-1], *[x for x in batches if x[0] <= kept]]:
+                self.files.delete(path)
+        if self._complete(self.path, "index-"):
+            self.rebuild_index()
 
     # queries
 
     def tables(self) -> Tables:
-        if self._index is None:
-            docs = knowledge_docs(self.knowledge).unionByName(statement_docs(self.statement))
-            self._index = FullTextIndex.build(docs)
-        return Tables(self.knowledge, self.statement, self._index, self.embedder)
+        return Tables(self.knowledge, self.statement, self.full_text, self.embedder)
 
-    def rebuild_index(self) -> None:
-        """Write the search index to the shelf, for many searches between two changes."""
-        docs = knowledge_docs(self.knowledge).unionByName(statement_docs(self.statement))
-        self._index = FullTextIndex.build(docs).save(str(self.path / "index"))
+    def _docs(self, of=None) -> DataFrame:
+        of = of or self.table
+        return knowledge_docs(of("knowledge")).unionByName(statement_docs(of("statement")))
+
+    def full_text(self) -> FullTextIndex:
+        """The search index of the current state: the one kept with the shelf, brought up to date.
+
+        It is written at the first search, and again when much has changed since.
+        """
+        version = self.version()
+        if self._index and self._index[0] == version:
+            return self._index[1]
+        kept = self._complete(self.path, "index-")
+        # Batches from before the last base but one are gone.
+        known_since = max([0, *[self._bases(t)[-2][0] for t in KEY if len(self._bases(t)) > 1]])
+        if not kept or kept[-1][0] < known_since:
+            return self.rebuild_index()
+        number, path = kept[-1]
+        index = FullTextIndex.load(self.spark, path)
+        if number < version:
+            changes = {t: self._changes(t, number) for t in KEY}
+            changed = [c.select(F.lit(t).alias("catalog"), F.col(KEY[t]).alias("key"), "op", "content") for t, c in changes.items() if c is not None]
+            rows = materialise(changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1]), "changed") if changed else None
+            n = rows.count() if rows is not None else 0
+            if n > max(STALE_ROWS, STALE_SHARE * index.stats.first()["n_docs"]):
+                return self.rebuild_index()
+            if n:
+                index = index.changed(rows.select("catalog", "key"), rows.where(F.col("op") == "put").select("catalog", "key", "content"))
+        self._index = version, index
+        return index
+
+    def rebuild_index(self) -> FullTextIndex:
+        """Write the search index of the current state to the shelf."""
+        version, kept = self.version(), self._complete(self.path, "index-")
+        path = self._in(f"index-{version}")
+        if not kept or kept[-1][0] < version:
+            FullTextIndex.build(self._docs()).save(path)
+            for _, old in kept[:-1]:
+                self.files.delete(old)
+        self._index = version, FullTextIndex.load(self.spark, path)
+        return self._index[1]
 
     def query(self, expression) -> DataFrame:
         return execute(expression, self.tables())
 
+    def answer(self, expression) -> Answer:
+        """The rows of a query with their number."""
+        return Answer(self.query(expression))
+
     def search(self, text: str, catalog: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-        return self.tables().full_text().search(text, catalog, limit, offset)
+        return self.full_text().search(text, catalog, limit, offset)
 
     def similar(self, text: str, target: str = "knowledge", limit: int = 10) -> DataFrame:
         tables = self.tables()
@@ -220,55 +329,73 @@ class Shelf:
 
     # archives
 
-    def _inside(self, relative: str) -> Path:
-        root = (self.path / "archives").resolve()
-        full = (root / relative).resolve()
-        if not full.is_relative_to(root):
+    def _inside(self, relative: str) -> str:
+        """The path of an archived file; ``relative`` may not lead out of the archive."""
+        plain = os.path.normpath(relative)
+        if not relative or os.path.isabs(plain) or plain.split("/")[0] in ("..", "."):
             raise ValidationError(f"{relative!r} is outside the archive")
-        return full
+        return self._in("archives", plain)
 
-    def store_archive(self, source: str | os.PathLike, relative: str) -> Path:
+    def store_archive(self, source: str | os.PathLike, relative: str) -> str:
         target = self._inside(relative)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(source, target)
+        self.files.upload(source, target)
         return target
 
-    def archive_path(self, relative: str) -> Path | None:
+    def archive_path(self, relative: str) -> str | None:
         full = self._inside(relative)
-        return full if full.exists() else None
+        return full if self.files.exists(full) else None
 
     def list_archives(self) -> list[str]:
-        root = self.path / "archives"
-        return sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file())
+        return [e.name for e in self.files.walk(self._in("archives"))]
 
     def archive_files(self) -> DataFrame:
         """``path, modificationTime, length`` of archived files, without reading them."""
-        return self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(self.path / "archives")).select("path", "modificationTime", "length")
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self._in("archives")).select("path", "modificationTime", "length")
 
     def export(self, destination: str | os.PathLike) -> None:
-        """Write the current tables and copy the archives; settings and models stay behind."""
-        out = Path(destination)
-        out.mkdir(parents=True, exist_ok=True)
+        """Write the current tables and copy the archives; settings, models and index stay behind.
+
+        The destination is a shelf; a state that is there already is replaced by a newer base.
+        """
+        out = Shelf(self.spark, destination)
         for table in KEY:
-            rows = self.table(table)
-            rows.select(F.lit(0).cast("long").alias("seq"), F.lit("put").alias("op"), *[c.split()[0] for c in COLUMNS[table].split(", ")]).write.mode("overwrite").parquet(str(out / table))
-        shutil.copytree(self.path / "archives", out / "archives", dirs_exist_ok=True)
+            out._write_base(table, self.table(table), out._now())
+        for entry in self.files.walk(self._in("archives")):
+            self.files.copy(entry.path, out._inside(entry.name))
 
 
 def embed_column(rows: DataFrame, text: str, embedder) -> DataFrame:
-    """``rows`` with column ``embedding`` from a text column, in batches; null where there is no text or it fails."""
+    """``rows`` with column ``embedding`` from a text column, in batches; null where there is no text, or no vector can be had for it.
+
+    Faults of other kinds than a missing model or a text it refuses end the query.
+    """
     others = [c for c in rows.columns if c != "embedding"]
     fields = [f for f in rows.schema if f.name != "embedding"]
     schema = StructType([*fields, StructField("embedding", ArrayType(FloatType()))])
 
+    def one(value: str) -> list[float] | None:
+        try:
+            return vector_literal(embedder.embed(value))
+        except (ModelUnavailable, ValidationError):
+            return None
+
+    def several(values: list[str]) -> list[list[float] | None]:
+        """One call for the batch where the embedder has it; if that fails, text by text, so that one bad text costs itself only."""
+        if hasattr(embedder, "embed_batch"):
+            try:
+                return [vector_literal(v) for v in embedder.embed_batch(values)]
+            except (ModelUnavailable, ValidationError):
+                pass
+        return [one(v) for v in values]
+
     def run(frames):
         for frame in frames:
-            vectors: list[list[float] | None] = []
-            for value in frame[text]:
-                try:
-                    vectors.append(None if value is None else vector_literal(embedder.embed(value)))
-                except Exception:
-                    vectors.append(None)
+            there = [i for i, value in enumerate(frame[text]) if value is not None]
+            vectors: list[list[float] | None] = [None] * len(frame)
+            for a in range(0, len(there), EMBED_BATCH):
+                part = there[a : a + EMBED_BATCH]
+                for i, vector in zip(part, several([frame[text].iloc[i] for i in part])):
+                    vectors[i] = vector
             yield frame[others].assign(embedding=pd.Series(vectors, index=frame.index, dtype=object))
 
     return rows.select(*others).mapInPandas(run, schema)

@@ -14,8 +14,8 @@ ENTITIES, PREDICATES = 24, 20
 MOST_STATEMENTS = ENTITIES * (ENTITIES - 1) * PREDICATES
 TAGS = 19
 SCALES = {"small": (1_000, 2_000, 20, 40), "medium": (10_000, 11_040, 100, 200), "large": (50_000, 11_040, 500, 1_000)}
-#: Where a needle's query ends: before the first of these words that occurs, tried in this order.
-QUERY_ENDS = (" with ", " for ", " from ", " in ")
+#: Words of a topic that are searched for.
+QUERY_WORDS = 6
 _VERBS = "moved reviewed merged measured replaced delayed".split()
 _NOUNS = "cache queue parser ledger index schema router planner buffer worker".split()
 
@@ -39,11 +39,8 @@ def needle_topic(i: Column) -> Column:
 
 
 def needle_query(topic: str) -> str:
-    """The part of a topic that is searched for: up to the first ending word, else 80 characters."""
-    for end in QUERY_ENDS:
-        if end in topic:
-            return sanitise(topic.split(end, 1)[0])
-    return sanitise(topic[:80])
+    """The part of a topic that is searched for: its first words."""
+    return sanitise(" ".join(topic.split()[:QUERY_WORDS]))
 
 
 def knowledge(spark: SparkSession, rows: int, needles: int, seed: int = 42) -> DataFrame:
@@ -78,6 +75,6 @@ def statements(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
 
 def queries(spark: SparkSession, count: int, seed: int = 42) -> DataFrame:
     """``query, expected``: half of them for needles, half for pairs of words with no known answer."""
-    topics = spark.range(count // 2).select(F.format_string("needle_%04d", "id").alias("expected"), F.substring_index(needle_topic(F.col("id")), " with ", 1).alias("query"))
+    topics = spark.range(count // 2).select(F.format_string("needle_%04d", "id").alias("expected"), F.substring_index(needle_topic(F.col("id")), " ", QUERY_WORDS).alias("query"))
     pairs = spark.range(count - count // 2).select(F.lit(None).cast("string").alias("expected"), F.concat_ws(" ", _pick(_NOUNS, F.col("id"), seed, 1), _pick(_VERBS, F.col("id"), seed, 2)).alias("query"))
     return topics.unionByName(pairs)

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphmill.plans.compile import KEY
-from graphmill.sources.store import Shelf
+from graphmill.sources.store import Shelf, newest
 
 
 def ingest(rows: DataFrame, shelf: Shelf, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append a stream of ``knowledge`` or ``statement`` rows: the newest row of a key wins.
+    """Append a stream of ``knowledge`` or ``statement`` rows: the row of the latest ``created_at`` of a key wins.
 
-    Within a batch the row of the latest ``created_at`` is kept.  A batch that is delivered again
-    after a failure writes the same states again, which changes nothing.
+    That holds within a batch and across batches: a late row that is not newer than what the shelf
+    has is left out, and so is a batch that is delivered again after a failure.
     """
     key = KEY[table]
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = Window.partitionBy(key).orderBy(F.desc("created_at"))
-        shelf._append(table, batch.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n"))
+        there = shelf.table(table).select(key, F.struct("created_at").alias("_there"))
+        rows = newest(batch, key, "created_at").join(there, key, "left")
+        shelf._append(table, rows.where(F.col("_there").isNull() | F.coalesce(F.col("created_at") > F.col("_there.created_at"), F.col("created_at").isNotNull())).drop("_there"))
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

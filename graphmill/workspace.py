@@ -77,11 +77,11 @@ class Workspace:
         """Archive a file with a knowledge row of its metadata and a statement that it is an archive."""
         target = self.shelf(shelf)
         relative = relative or Path(source).name
-        stored = target.store_archive(source, relative)
+        target.store_archive(source, relative)
         extension = Path(relative).suffix.removeprefix(".").lower()
         mime = MIME_TYPES.get(extension, "application/octet-stream")
         kind = mime.split("/")[0]
-        meta = to_text({"filename": relative, "size_bytes": stored.stat().st_size, "mime_type": mime})
+        meta = to_text({"filename": relative, "size_bytes": os.path.getsize(source), "mime_type": mime})
         category = kind if kind in ("image", "video", "audio") else "file"
         target.create_knowledge(relative, Content(meta, "json", ["archive", category, extension], figures=[f"archive://{relative}"]))
         try:

@@ -11,7 +11,7 @@ from graphmill.queries import ORACLES, QUERIES
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test data")
 #: One query of each kind; the driver compares all of them on larger tables.
-SOME = ["p1_found", "p1_periods", "scan_knowledge", "and_or_not", "content_pairs", "triple_full", "khop_3", "vector_both", "search_or_not", "search_in_query", "similar_in_query", "retrieval_metrics", "latency_percentile", "token_f1", "embedding_texts"]
+SOME = ["compacted", "search_after_changes", "exported", "haystacks", "language_outcomes", "p1_found", "p1_periods", "scan_knowledge", "and_or_not", "content_pairs", "triple_full", "khop_3", "vector_both", "search_or_not", "search_in_query", "similar_in_query", "retrieval_metrics", "latency_percentile", "token_f1", "embedding_texts"]
 
 
 def plain(v):

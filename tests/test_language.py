@@ -9,16 +9,18 @@ from graphmill.plans.expressions import Call, Items, Literal, Mapping, Quoted, S
 
 
 def test_parse_forms():
-    assert parse(42) == Literal(42) and parse("hello") == Literal("hello") and parse(None) == Literal(None)
-    assert parse("$myField") == Symbol("$myField") and parse("$$name") == Literal("$name") and parse("$$") == Literal("$")
-    assert parse("$eq") == Literal("$eq") and parse("$triple") == Symbol("$triple") and parse("$*") == Symbol("$*")
-    assert len(parse(["$and", True, False]).args) == 2
-    assert parse({"$eq": "x"}) == Call("$eq", (Literal("x"),), {})
-    assert parse({"$search": "rust", "catalog": "knowledge"}).meta == {"catalog": "knowledge"}
-    assert parse([1, "a"]) == Items((Literal(1), Literal("a"))) and parse([]) == Items(()) and parse({}) == Mapping({})
-    assert parse(["$quote", ["$eq", 1]]) == Quoted(Call("$eq", (Literal(1),), {}))
-    assert parse({"$quote": "$x"}) == Quoted(Symbol("$x"))
-    assert parse(["$unknown", 1]).op == "$unknown"
+    for plain in (-7.5, "two words", False, None):
+        assert parse(plain) == Literal(plain)
+    assert parse("$since") == Symbol("$since") and parse("$$since") == Literal("$since") and parse("$$") == Literal("$")
+    # Names of operators stand for themselves outside operator position, but for $triple and the wildcard.
+    assert parse("$lte") == Literal("$lte") and parse("$triple") == Symbol("$triple") and parse("$*") == Symbol("$*")
+    assert len(parse(["$or", 1, 2, 3]).args) == 3 and parse(["$or"]).args == ()
+    assert parse({"$not": None}) == Call("$not", (Literal(None),), {})
+    assert parse({"$similar": "rivers", "limit": 3}).meta == {"limit": 3}
+    assert parse([0.5, ["z"]]) == Items((Literal(0.5), Items((Literal("z"),)))) and parse([]) == Items(()) and parse({}) == Mapping({})
+    assert parse(["$quote", ["$like", "a"]]) == Quoted(Call("$like", (Literal("a"),), {}))
+    assert parse({"$quote": "$since"}) == Quoted(Symbol("$since"))
+    assert parse(["$nowhere", []]).op == "$nowhere"
 
 
 @pytest.mark.parametrize("bad", [["$quote"], ["$quote", 1, 2], {"$a": 1, "$b": 2}])

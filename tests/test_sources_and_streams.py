@@ -49,7 +49,7 @@ def test_synthetic(spark):
     index = FullTextIndex.build(knowledge_docs(knowledge))
     for q in synthetic.queries(spark, 6).where("expected IS NOT NULL").collect():
         assert index.search(q["query"], limit=1).first()["key"] == q["expected"]
-    assert synthetic.needle_query("topic one with more in it") == "topic one" and len(synthetic.needle_query("x" * 200)) == 80
+    assert synthetic.needle_query("one two, three four five six seven") == "one two three four five six" and synthetic.needle_query("") == ""
 
 
 def test_latest(spark):
@@ -66,7 +66,12 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     ingest(stream, shelf, "knowledge", str(tmp_path / "c")).awaitTermination()
     assert {r["name"]: r["content"] for r in shelf.knowledge.collect()} == {"a": '{"tags":["new"]}', "b": "{}"}
+    late = spark.createDataFrame([("a", "{}", "2023-12-31"), ("b", "[]", "2024-01-03"), ("c", "{}", None)], "name string, content string, created_at string")
+    late.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second time nothing is new
+        ingest(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), shelf, "knowledge", str(tmp_path / "c")).awaitTermination()
+    assert {r["name"]: r["content"] for r in shelf.knowledge.collect()} == {"a": '{"tags":["new"]}', "b": "[]", "c": "{}"}
     out = activity(stream, "created_at", "name", "1 day").writeStream.format("memory").queryName("seen").outputMode("complete").start()
     out.processAllAvailable()
     out.stop()
-    assert {(r["name"], r["n"]) for r in spark.table("seen").collect()} == {("a", 1), ("b", 1)}
+    assert {(r["name"], r["n"]) for r in spark.table("seen").collect()} >= {("a", 1), ("b", 1)}
