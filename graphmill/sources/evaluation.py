@@ -15,14 +15,16 @@ def _rows(name: Column, data: Column, labels: Column) -> list[Column]:
     return [name.alias("name"), content_column(data, labels).alias("content")]
 
 
-def dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """Conversation files (one JSON array) as ``name, content``: turns, summaries, events, observations.
+def dialogues(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Conversation files as ``name, content``: turns, summaries, events, observations.
+
+    A file is one JSON array, which one task reads, or with ``lines`` an object to a line, which many can.
 
     Sessions are the keys ``session_<number>``, in any number; other keys are ignored.  Only
     summaries that are strings count; event and observation entries are kept as JSON text.
     """
     schema = "sample_id string, conversation map<string,string>, session_summary map<string,string>, event_summary map<string,string>, observation map<string,string>"
-    raw = spark.read.schema(schema).option("multiLine", True).option("prefersDecimal", False).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     sessions = raw.select("*", F.explode("conversation").alias("key", "turns_text")).where(F.col("key").rlike("^session_[0-9]+$"))
     number = F.regexp_extract("key", "([0-9]+)$", 1).try_cast("int").cast("string")
     sessions = sessions.select("*", number.alias("number")).withColumn("session", F.concat(F.lit("session_"), "number"))
@@ -53,14 +55,14 @@ def dialogues(spark: SparkSession, path: str) -> DataFrame:
     return turns
 
 
-def haystacks(spark: SparkSession, path: str) -> DataFrame:
-    """Question files with their session histories as ``name, content``, each shared turn once.
+def haystacks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Question files with their session histories as ``name, content``, each shared turn once; ``lines`` as for :func:`dialogues`.
 
     A turn that several questions share (same session and number) is kept for the first question in
     the file; turns of answer sessions and those marked as holding the answer are tagged evidence.
     """
     schema = "question_id string, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string,has_answer:boolean>>>, answer_session_ids array<string>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_order", F.monotonically_increasing_id())
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("_order", F.monotonically_increasing_id())
     sessions = raw.select("*", F.posexplode("haystack_sessions").alias("s", "turns"))
     sess = F.coalesce(F.get("haystack_session_ids", F.col("s")), F.concat(F.lit("sess_"), F.col("s").cast("string")))
     turns = sessions.select("question_id", "answer_session_ids", "_order", "s", sess.alias("sess"), F.coalesce(F.get("haystack_dates", F.col("s")), F.lit("")).alias("date"), F.posexplode("turns").alias("t", "turn"))
