@@ -7,11 +7,14 @@ with all of them, which loses no list; only beyond ``EXACT_LISTS`` they are sear
 a graph that links each to its nearest ones, until no centroid of the beam is left to expand.  A
 vector is stored in its nearest list and, when it lies near a boundary, in further lists whose
 centroids are at most ``store_ratio`` times as far as the nearest; it probes lists up to
-``probe_ratio`` times as far.  Lists are then compared within themselves.
+``probe_ratio`` times as far.  Lists are then compared within themselves; those that the sample
+shows to be far larger than others are asked in parts, each part against the whole list.  Vectors
+of each length are an index of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +26,13 @@ from pyspark.sql import functions as F
 
 from graphmill.session import materialise
 
-#: Vectors that the centroids are fitted on; every vector is indexed.
-SAMPLE = 40_000
+#: Vectors that the centroids are fitted on: so many, beyond 100 times that a hundredth, and at most so many and so many bytes.
+#: Every vector is indexed.
+SAMPLE, MOST_SAMPLED, SAMPLE_BYTES = 40_000, 200_000, 64 << 20
+#: A list estimated to hold so many times its share is asked in parts.
+OVERFULL = 8
+#: Bytes of entries that a task of the comparison is to read.
+TASK_BYTES = 12 << 20
 LIST_SIZE = 400
 #: Centroids are broadcast: at most so many, of so many numbers.
 MAX_LISTS = 65_536
@@ -34,13 +42,13 @@ STORE_RATIO, PROBE_RATIO = 1.3, 2.0
 #: Probes at any distance grow as this times the lists to this power, which held the recall in measurements.
 PROBE_SHARE, PROBE_POWER = 0.46, 0.75
 #: The same for neighbours of high cosine only, which share a list or lie in lists next to each other.
-CLOSE = {"store": 2, "probe": 6, "store_ratio": 1.1, "probe_ratio": 1.4}
-#: Up to so many lists, more than ``SAMPLE`` gives, a vector is compared with every centroid: there that is cheaper than a beam as well.
+CLOSE = {"store": 4, "probe": 4, "store_ratio": 1.4, "probe_ratio": 1.4}
+#: Up to so many lists a vector is compared with every centroid: there that is cheaper than a beam as well.
 EXACT_LISTS = 32_768
 LINKS, BEAM, EXPAND, ENTRIES = 24, 128, 32, 64
 #: Similarities to centroids that are held at a time.
 _CELLS = 1 << 22
-#: Tables of repeated directions are broadcast up to this many rows; beyond, the join shuffles.
+#: Tables of repeated directions, and what is found for them, are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 _BLOCK = 2048
 
@@ -109,6 +117,7 @@ class CentroidGraph:
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
+    parts: np.ndarray | None = None
 
     @classmethod
     def build(cls, centroids: np.ndarray, links: int = LINKS, entries: int = ENTRIES) -> CentroidGraph:
@@ -176,21 +185,22 @@ class CentroidGraph:
         return ids, sims
 
 
-def _graph(vectors: DataFrame, list_size: int, sample: int) -> CentroidGraph | None:
-    """Fit centroids on a sample by key hash, of ``sample`` vectors at most on average."""
-    n = vectors.count()
-    if not n:
-        return None
-    part = 1_000_000
-    chosen = vectors.where(F.pmod(F.xxhash64("key"), F.lit(part)) < max(1, min(part, int(part * sample / n)))) if n > sample else vectors
+def _graph(vectors: DataFrame, n: int, list_size: int, sample: int) -> CentroidGraph:
+    """Fit centroids on a sample by key hash, of ``sample`` vectors on average; ``n`` vectors of one length."""
+    size = vectors.select(F.length("vec")).first()[0]
+    sample = max(1, min(max(sample, min(n // 100, MOST_SAMPLED)), SAMPLE_BYTES // size))
+    part = 1_000_000_000
+    chosen = vectors.where(F.pmod(F.xxhash64("key"), F.lit(part)) < max(1, int(part * sample / n))) if n > sample else vectors
     raw = chosen.select("vec").toPandas()["vec"]
     if not len(raw):
         raw = vectors.select("vec").limit(1).toPandas()["vec"]
-    lengths = raw.map(len)
-    raw = raw[lengths == lengths.mode()[0]]
     x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
     leaf = max(1, round(list_size * len(x) / n), -(-2 * len(x) // MAX_LISTS))
-    return CentroidGraph.build(balanced_centroids(x, leaf))
+    graph = CentroidGraph.build(balanced_centroids(x, leaf))
+    near, _ = graph.search(x, 1)
+    held = np.bincount(near[:, 0], minlength=len(graph.centroids)) * (n / len(x))
+    graph.parts = np.maximum(1, np.ceil(held / (OVERFULL * max(list_size, n / len(graph.centroids)))).astype(np.int32))
+    return graph
 
 
 def probes_for(lists: int) -> int:
@@ -198,15 +208,13 @@ def probes_for(lists: int) -> int:
     return max(PROBE, round(PROBE_SHARE * lists**PROBE_POWER))
 
 
-ENTRY = "list int, key string, vec binary, stored boolean, asks boolean"
+ENTRY = "list int, part int, key string, vec binary, stored boolean, asks boolean"
 
 
 def _assign(shared, store: int, probe: int, store_ratio: float, probe_ratio: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = shared.value
-        size = graph.centroids.shape[1] * 4
         for frame in frames:
-            frame = frame[frame["vec"].map(len) == size] if len(frame) else frame
             if not len(frame):
                 continue
             asking = frame["asks"].to_numpy(bool)
@@ -225,7 +233,17 @@ def _assign(shared, store: int, probe: int, store_ratio: float, probe_ratio: flo
         stored = (ratio <= store_ratio) & (place < store)
         asks = (ratio <= probe_ratio) & (place < probe) & frame["asks"].to_numpy(bool)[:, None]
         row, col = np.nonzero(stored | asks)
-        return pd.DataFrame({"list": ids[row, col].astype(np.int32), "key": frame["key"].to_numpy()[row], "vec": frame["vec"].to_numpy()[row], "stored": stored[row, col], "asks": asks[row, col]})
+        number = ids[row, col].astype(np.int32)
+        parts = graph.parts[number]
+        own = row % parts  # the part in which it asks; it is stored in all
+        if (parts > 1).any():
+            again = np.repeat(np.arange(len(row)), np.where(stored[row, col], parts, 1))
+            nth = np.arange(len(again)) - np.searchsorted(again, again, "left")
+            row, col, number, own = row[again], col[again], number[again], own[again]
+            part = np.where(stored[row, col], nth, own)
+        else:
+            part = own
+        return pd.DataFrame({"list": number, "part": part.astype(np.int32), "key": frame["key"].to_numpy()[row], "vec": frame["vec"].to_numpy()[row], "stored": stored[row, col], "asks": asks[row, col] & (part == own)})
 
     return run
 
@@ -292,11 +310,12 @@ def similar_vectors(
 
     ``queries`` is a condition on ``key`` that limits which rows ask; all are searched.  Keys of the
     same direction have cosine 1 and rank before all others, the smaller key first.  Copies of a key
-    count once.  Null and all-zero vectors take no part; vectors of another length than most are
-    left out.  An empty table gives no row.  Without ``probe`` the probes grow with the lists (:func:`probes_for`).  Recall depends on the probes and is measured in the tests.
+    count once.  Null and all-zero vectors take no part; vectors are compared with those of the same
+    length.  An empty table gives no row.  Without ``probe`` the probes grow with the lists
+    (:func:`probes_for`).  Recall depends on the probes and is measured in the tests.
     """
     spark = df.sparkSession
-    vectors = unit_vectors(df, key, vector)
+    vectors = materialise(unit_vectors(df, key, vector), "vectors")
     # Directions that several keys share: one key stands for them in the index.
     shared = vectors.groupBy("direction").agg(F.min("key").alias("first"), F.max("key").alias("_last")).where(F.col("first") < F.col("_last")).select("direction", "first")
     shared = materialise(shared, "directions")
@@ -310,26 +329,36 @@ def similar_vectors(
     asks = F.expr(queries) if queries else F.lit(True)
     if members is not None and queries:
         asking = members.where(queries).select(F.col("first").alias("key")).distinct().withColumn("_asks", F.lit(True))
-        indexed = indexed.join(asking, "key", "left").withColumn("asks", asks | F.coalesce("_asks", F.lit(False))).drop("_asks")
+        indexed = indexed.join(F.broadcast(asking) if n_shared <= BROADCAST_ROWS else asking, "key", "left").withColumn("asks", asks | F.coalesce("_asks", F.lit(False))).drop("_asks")
     else:
         indexed = indexed.withColumn("asks", asks)
-    graph = _graph(indexed, list_size, sample)
-    if graph is None:
+    near = None
+    for size, n, n_asking, bytes_of_key in indexed.groupBy(F.length("vec")).agg(F.count(F.lit(1)), F.count_if("asks"), F.avg(F.length("key"))).collect():
+        own = indexed.where(F.length("vec") == size)
+        graph = _graph(own, n, list_size, sample)
+        probes = probe or probes_for(len(graph.centroids))
+        tasks = max(spark.sparkContext.defaultParallelism, math.ceil((n * store + n_asking * max(store, probes)) * (size + bytes_of_key + 24) / TASK_BYTES))
+        shown = spark.sparkContext.broadcast(graph)
+        entries = own.select("key", "vec", "asks").mapInPandas(_assign(shown, store, probes, store_ratio, probe_ratio), ENTRY)
+        part = entries.repartition(tasks, "list", "part").groupBy("list", "part").applyInPandas(_search_list(k, min_cosine), "key string, neighbour string, cosine double")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
         return spark.createDataFrame([], "key string, neighbour string, cosine double, rank int")
-    probe = probe or probes_for(len(graph.centroids))
-    entries = indexed.select("key", "vec", "asks").mapInPandas(_assign(spark.sparkContext.broadcast(graph), store, probe, store_ratio, probe_ratio), ENTRY)
-    near = entries.groupBy("list").applyInPandas(_search_list(k, min_cosine), "key string, neighbour string, cosine double")
     near = _top(near.where(F.col("cosine") >= min_cosine), k).select("key", "neighbour", "cosine")
     if members is not None:
         # Each class of a direction: its k + 1 smallest keys are all that any row can need of it.
         order = Window.partitionBy("first").orderBy("key")
         few = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("first", F.col("key").alias("mate"))
+        few = F.broadcast(few) if n_shared * (k + 1) <= BROADCAST_ROWS else few
         near = near.join(few.withColumnRenamed("first", "neighbour"), "neighbour", "left").select("key", F.coalesce("mate", "neighbour").alias("neighbour"), "cosine")
-        near = _top(near, k).select("key", "neighbour", "cosine")
+        near = materialise(_top(near, k).select("key", "neighbour", "cosine"), "near")
+        # What a class found holds for its members, of which one class may have most: few rows a class, so these are broadcast.
+        asked = near.join(hint.select(F.col("first").alias("key")), "key", "left_semi").withColumnRenamed("key", "first")
+        asked = F.broadcast(asked) if n_shared * k <= BROADCAST_ROWS else asked
+        others = near.join(hint.select(F.col("first").alias("key")), "key", "left_anti")
+        of_members = members.join(asked, "first").select("key", "neighbour", "cosine")
         own = members.join(few, "first").where(F.col("key") != F.col("mate")).select("key", F.col("mate").alias("neighbour"), F.lit(1.0).alias("cosine"))
-        of_class = members.withColumnRenamed("key", "_member")
-        near = near.join(of_class, near["key"] == of_class["first"], "left").select(F.coalesce("_member", "key").alias("key"), "neighbour", "cosine")
-        near = near.unionByName(own)
+        near = others.unionByName(of_members).unionByName(own)
         if queries:
             near = near.where(queries)
         near = _top(near, k).select("key", "neighbour", "cosine")
