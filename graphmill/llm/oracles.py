@@ -55,6 +55,13 @@ WITH {_BORDA}
 SELECT question_id, key, points::DOUBLE AS points, found_in, row_number() OVER (PARTITION BY question_id ORDER BY points DESC, key)::INT AS place FROM p
 """
 
+_LISTED = "SELECT to_json([run_id, question_id])::VARCHAR AS question_id, unnest({0}) AS key, generate_subscripts({0}, 1) AS {1} FROM eval_result WHERE run_id IS NOT NULL AND question_id IS NOT NULL"
+P4_RUNS = f"""
+WITH fts_result AS ({_LISTED.format("fts_top_keys", "rank")}), vec_result AS ({_LISTED.format("vec_top_keys", "distance")}), {_BORDA}
+SELECT json_extract_string(question_id, '$[0]') AS run_id, json_extract_string(question_id, '$[1]') AS question_id, key, points::DOUBLE AS points, found_in,
+  row_number() OVER (PARTITION BY p.question_id ORDER BY points DESC, key)::INT AS place FROM p WHERE key IS NOT NULL
+"""
+
 P5 = """
 WITH e AS (SELECT DISTINCT key, embedding::DOUBLE[] AS x FROM (SELECT name AS key, embedding FROM knowledge UNION ALL SELECT triple, embedding FROM statement)
            WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
@@ -81,4 +88,4 @@ si AS (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda a: a
 SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (run)
 """
 
-ORACLES = {"p2_found": P2, "p2_near_duplicates": P2_NEAR, "p3_found": P3, "p4_found": P4, "p4_ranking": P4_RANKING, "p5_found": P5, "p6_found": P6, "p6_percentiles": P6_PERCENTILES, "p8_found": P8}
+ORACLES = {"p2_found": P2, "p2_near_duplicates": P2_NEAR, "p3_found": P3, "p4_found": P4, "p4_ranking": P4_RANKING, "p4_runs": P4_RUNS, "p5_found": P5, "p6_found": P6, "p6_percentiles": P6_PERCENTILES, "p8_found": P8}

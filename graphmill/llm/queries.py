@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm import bagminhash, bisect_split, borda, leaks, packing, percentiles, postings, reading
 from graphmill.llm.oracles import ORACLES
+from graphmill.session import materialise
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,8 +46,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """All pieces of all knowledge rows, by name and content once."""
-    pieces = bisect_split.split_knowledge(table(spark, folder, "knowledge"), table(spark, folder, "local_config"))
-    return pieces.groupBy("id", "piece", "pieces", "start", "end", "n_tokens").agg(F.first("text").alias("text")).withColumnRenamed("id", "name")
+    knowledge = table(spark, folder, "knowledge").select("name", "shelf", "content").where(F.col("content").isNotNull())
+    # Only the rows of names that occur again are compared with each other.
+    again = knowledge.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("again"))
+    marked = materialise(again, "again")
+    marked = F.broadcast(marked) if marked.count() <= bagminhash.BROADCAST_IDS else marked
+    same = F.col("name").eqNullSafe(F.col("again"))
+    rows = knowledge.join(marked, same, "left_anti").unionByName(knowledge.join(marked, same, "left_semi").distinct())
+    return bisect_split.split_knowledge(rows, table(spark, folder, "local_config")).withColumnRenamed("id", "name").drop("first_token")
 
 
 def fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +74,17 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return borda.positions(fused(spark, folder)).select(F.col("group").alias("question_id"), F.col("item").alias("key"), "points", "found_in", "place")
 
 
+def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """One ranking of the keys in the two lists of each run and question, by their places; copies of a row count once."""
+    rows = table(spark, folder, "eval_result")
+    group = F.to_json(F.array("run_id", "question_id")).alias("g")
+    keyed = rows.where(F.col("run_id").isNotNull() & F.col("question_id").isNotNull())
+    listed = lambda keys: keyed.select(group, F.posexplode(keys).alias("place", "key"))
+    scores = [(listed(c), F.col("g"), F.col("key"), F.col("place")) for c in ("fts_top_keys", "vec_top_keys")]
+    placed = borda.positions(borda.borda(scores)).withColumn("g", F.from_json("group", "array<string>"))
+    return placed.select(F.col("g")[0].alias("run_id"), F.col("g")[1].alias("question_id"), F.col("item").alias("key"), "points", "found_in", "place")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     knowledge = table(spark, folder, "knowledge").select(F.col("name").alias("key"), "embedding")
     return knowledge.unionByName(table(spark, folder, "statement").select(F.col("triple").alias("key"), "embedding"))
@@ -114,8 +132,8 @@ def p7_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "local_config"))
 
 
-def passages(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+def passages(spark: SparkSession, folder: str, whole_from: int | None = None) -> DataFrame:
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"), whole_from=whole_from)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,8 +142,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Each leaked passage with its place in the document."""
-    return passages(spark, folder).select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "start", "end", "item_word", "n_words").distinct()
+    """Each leaked passage with its place in the document; items of 5 to 11 words where they stand whole."""
+    return passages(spark, folder, whole_from=5).select(F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"), "start", "end", "item_word", "n_words").distinct()
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +158,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = "p2_found p2_near_duplicates p3_found p3_pieces p4_found p4_ranking p5_found p5_neighbours p5_nearest p5_nearest_all p6_found p6_percentiles p7_sequences p8_found p8_passages p9_found p9_levels"
+    names = "p2_found p2_near_duplicates p3_found p3_pieces p4_found p4_ranking p4_runs p5_found p5_neighbours p5_nearest p5_nearest_all p6_found p6_percentiles p7_sequences p8_found p8_passages p9_found p9_levels"
     return {name: globals()[name] for name in names.split()}
 
 
