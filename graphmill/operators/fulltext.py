@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from graphmill.errors import ParseError
 from graphmill.functions.content import joined, synonyms, tags
+from graphmill.functions.segmentation import PAIRS, Segmenter
 from graphmill.functions.stemming import fold, fold_column, porter, stem_column
 from graphmill.session import materialise
 
@@ -34,29 +35,12 @@ LEAST_IDF = 1e-6
 PUNCTUATION = ":\"'*^+-().?!,/`{}[]~@#%;&|<>"
 
 _TOKEN = r"[\p{L}\p{N}\p{M}\p{Co}]+"
-_IDEOGRAPH = r"[\x{4E00}-\x{9FFF}]"
 
 
-def segment(text: Column) -> Column:
-    """Runs of CJK ideographs as overlapping pairs between spaces; a lone ideograph stays one.
-
-    Texts are cut the same way for the index and for queries, so a word is found inside a longer one.
-    """
-    paired = F.regexp_replace(text, f"({_IDEOGRAPH})(?=({_IDEOGRAPH}))", "$1$2\u0001")
-    paired = F.regexp_replace(paired, f"\u0001{_IDEOGRAPH}(?!{_IDEOGRAPH})", " ")
-    spaced = F.regexp_replace(F.replace(paired, F.lit("\u0001"), F.lit(" ")), f"({_IDEOGRAPH}+)", " $1 ")
-    return F.when(text.rlike(_IDEOGRAPH), spaced).otherwise(text)
-
-
-def segment_text(text: str) -> str:
-    """:func:`segment` of a string."""
-    return re.sub("[一-鿿]+", lambda m: " " + (m[0] if len(m[0]) == 1 else " ".join(m[0][i : i + 2] for i in range(len(m[0]) - 1))) + " ", text)
-
-
-def fields(key: Column, content: Column) -> dict[str, Column]:
+def fields(key: Column, content: Column, segmenter: Segmenter = PAIRS) -> dict[str, Column]:
     """The four searched texts of a row."""
     data = F.coalesce(F.get_json_object(content, "$.data"), F.lit(""))
-    return {n: segment(c) for n, c in {"key": key, "data": data, "tags": joined(tags(content)), "synonyms": joined(synonyms(content))}.items()}
+    return {n: segmenter.column(c) for n, c in {"key": key, "data": data, "tags": joined(tags(content)), "synonyms": joined(synonyms(content))}.items()}
 
 
 def knowledge_docs(knowledge: DataFrame) -> DataFrame:
@@ -77,28 +61,29 @@ class FullTextIndex:
     buckets: int | None = None
     terms: DataFrame | None = None
     cut: DataFrame | None = None
+    segmenter: Segmenter = PAIRS
 
     @classmethod
-    def build(cls, docs: DataFrame, stem: bool = True, texts: dict[str, Column] | None = None, weights: dict[str, float] | None = None) -> FullTextIndex:
+    def build(cls, docs: DataFrame, stem: bool = True, texts: dict[str, Column] | None = None, weights: dict[str, float] | None = None, segmenter: Segmenter = PAIRS) -> FullTextIndex:
         """Index ``catalog, key, content`` rows, of which each (catalog, key) should occur once.
 
         ``texts`` names the searched texts as columns over ``docs``; without it they are those of
         :func:`fields`.  The document number is a hash of catalog and key.
         """
-        texts = texts or fields(F.col("key"), F.col("content"))
+        texts = texts or fields(F.col("key"), F.col("content"), segmenter)
         tokens = F.array(*[F.struct(F.lit(n).alias("column"), F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1)).alias("words")) for n, t in texts.items()])
         cut = docs.select(F.xxhash64("catalog", "key").alias("doc_id"), "catalog", "key", "content", tokens.alias("texts"))
-        return cls._of(cut, stem, weights or WEIGHTS)
+        return cls._of(cut, stem, weights or WEIGHTS, segmenter)
 
     @classmethod
-    def _of(cls, cut: DataFrame, stem: bool, weights: dict[str, float]) -> FullTextIndex:
+    def _of(cls, cut: DataFrame, stem: bool, weights: dict[str, float], segmenter: Segmenter) -> FullTextIndex:
         """The index of documents whose texts are cut into words."""
         size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.size(t["words"]))
         sized = cut.withColumn("tokens", size)
         raw = sized.select("doc_id", "tokens", F.inline("texts")).select("doc_id", "tokens", "column", F.posexplode("words").alias("position", "raw"))
         postings = raw.withColumn("term", (stem_column if stem else fold_column)("raw")).select("term", "doc_id", "tokens", "column", "position")
         stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("tokens").alias("mean_tokens"))
-        return cls(postings, sized.select("doc_id", "catalog", "key", "content", "tokens"), stats, stem, weights, cut=cut)
+        return cls(postings, sized.select("doc_id", "catalog", "key", "content", "tokens"), stats, stem, weights, cut=cut, segmenter=segmenter)
 
     def save(self, path: str, buckets: int = 16) -> FullTextIndex:
         """Write the index, postings in folders by a hash of the term, and open it.
@@ -107,7 +92,7 @@ class FullTextIndex:
         ``HOT_POSTINGS`` documents are spread over tasks by document.
         """
         spark = self.docs.sparkSession
-        once = self if self.cut is None else FullTextIndex._of(materialise(self.cut, "cut"), self.stem, self.weights)
+        once = self if self.cut is None else FullTextIndex._of(materialise(self.cut, "cut"), self.stem, self.weights, self.segmenter)
         postings = materialise(once.postings, "postings")
         terms = postings.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"))
         bucket = F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket")
@@ -119,10 +104,10 @@ class FullTextIndex:
         placed.repartition("bucket", "part").drop("part", "parts").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(os.path.join(path, "postings"))
         once.docs.write.parquet(os.path.join(path, "docs"))
         once.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(path, mode="append")
-        return FullTextIndex.load(spark, path, self.stem, self.weights)
+        return FullTextIndex.load(spark, path, self.stem, self.weights, self.segmenter)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, stem: bool = True, weights: dict[str, float] | None = None) -> FullTextIndex:
+    def load(cls, spark: SparkSession, path: str, stem: bool = True, weights: dict[str, float] | None = None, segmenter: Segmenter = PAIRS) -> FullTextIndex:
         """Open a saved index.  Its statistics are written last, so an index without them is not complete."""
         stats = spark.read.schema("n_docs double, mean_tokens double, buckets int").option("recursiveFileLookup", False).parquet(os.path.join(path, "*.parquet"))
         schemas = {
@@ -132,7 +117,7 @@ class FullTextIndex:
         }
         postings, docs, terms = (spark.read.schema(schemas[part]).parquet(os.path.join(path, part)) for part in ("postings", "docs", "terms"))
         known = stats.first()
-        return cls(postings, docs, spark.createDataFrame([known]), stem, weights or WEIGHTS, known["buckets"], terms)
+        return cls(postings, docs, spark.createDataFrame([known]), stem, weights or WEIGHTS, known["buckets"], terms, segmenter=segmenter)
 
     def changed(self, keys: DataFrame, docs: DataFrame) -> FullTextIndex:
         """The index after a change: ``catalog, key`` of documents whose entries no longer hold, and those that replace them.
@@ -140,14 +125,14 @@ class FullTextIndex:
         Both should be small and cheap to read again.  Searches count documents anew, as the counts kept are of before.
         """
         gone = keys.select(F.xxhash64("catalog", "key").alias("doc_id")).distinct()
-        fresh = FullTextIndex.build(docs, self.stem, None, self.weights)
+        fresh = FullTextIndex.build(docs, self.stem, None, self.weights, self.segmenter)
         postings = fresh.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(self.buckets)))
         kept = self.postings.join(gone, "doc_id", "left_anti")
         tokens = lambda of, sign: of.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum("tokens"), F.lit(0))).alias("t"))
         before = self.stats.select(F.col("n_docs").alias("n"), (F.col("n_docs") * F.coalesce("mean_tokens", F.lit(0.0))).alias("t"))
         sums = before.unionByName(tokens(self.docs.join(gone, "doc_id", "left_semi"), -1)).unionByName(tokens(fresh.docs, 1))
         stats = sums.agg(F.sum("n").alias("n_docs"), (F.sum("t") / F.nullif(F.sum("n"), F.lit(0.0))).alias("mean_tokens"))
-        return FullTextIndex(kept.select(*postings.columns).unionByName(postings), self.docs.join(gone, "doc_id", "left_anti").unionByName(fresh.docs), stats, self.stem, self.weights, self.buckets)
+        return FullTextIndex(kept.select(*postings.columns).unionByName(postings), self.docs.join(gone, "doc_id", "left_anti").unionByName(fresh.docs), stats, self.stem, self.weights, self.buckets, segmenter=self.segmenter)
 
     def terms_of(self, word: str) -> list[str]:
         found = [fold(t) for t in re.findall(r"[^\W_]+", _keep_marks(word.lower()))]
@@ -158,7 +143,7 @@ class FullTextIndex:
 
         Rows of equal rank come in the order of catalog and key.  ``limit`` None gives all matches.
         """
-        tree, phrases = parse_search(text, self.terms_of)
+        tree, phrases = parse_search(text, self.terms_of, self.segmenter)
         ranked = self._ranked(tree, phrases)
         only = self.docs if catalog is None else self.docs.where(F.col("catalog") == catalog)
         if limit is not None:  # contents are fetched for the page only
@@ -221,14 +206,14 @@ def sanitise(text: str) -> str:
     return re.sub(" +", " ", text.translate({ord(c): " " for c in PUNCTUATION})).strip(" ")
 
 
-def parse_search(text: str, terms) -> tuple:
+def parse_search(text: str, terms, segmenter: Segmenter = PAIRS) -> tuple:
     """A boolean tree over phrase numbers, and the phrases.
 
     Words side by side must all occur; then NOT, AND, OR in falling precedence.  A word that is cut
     into several terms is a phrase, one without any term is left out.  The tree is a number,
     ("and" | "or" | "not", left, right), or None where nothing is left to match.
     """
-    words = sanitise(segment_text(text)).split()
+    words = sanitise(segmenter.text(text)).split()
     if not words:
         raise ParseError("empty search")
     for word in words:

@@ -25,6 +25,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from graphmill.errors import AlreadyExists, ModelUnavailable, NotFound, ValidationError
 from graphmill.functions.content import Content, embedding_text, triple_key
+from graphmill.functions.segmentation import PAIRS, Segmenter
 from graphmill.functions.vectors import vector_literal
 from graphmill.operators.fulltext import FullTextIndex, knowledge_docs, statement_docs
 from graphmill.plans.compile import KEY
@@ -70,11 +71,11 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class Shelf:
-    """One folder of tables.  ``embedder`` turns text into vectors, where there is one."""
+    """One folder of tables.  ``embedder`` turns text into vectors, where there is one; ``segmenter`` cuts what has no spaces."""
 
-    def __init__(self, spark: SparkSession, path: str | os.PathLike, name: str | None = None, embedder=None):
+    def __init__(self, spark: SparkSession, path: str | os.PathLike, name: str | None = None, embedder=None, segmenter: Segmenter = PAIRS):
         ship_package(spark)
-        self.spark, self.path, self.embedder = spark, str(path).rstrip("/"), embedder
+        self.spark, self.path, self.embedder, self.segmenter = spark, str(path).rstrip("/"), embedder, segmenter
         self.name = name or os.path.basename(self.path) or "default"
         self.files = Files(spark)
         self.files.make(self._in("archives"))
@@ -289,7 +290,7 @@ class Shelf:
         if not kept or kept[-1][0] < known_since:
             return self.rebuild_index()
         number, path = kept[-1]
-        index = FullTextIndex.load(self.spark, path)
+        index = FullTextIndex.load(self.spark, path, segmenter=self.segmenter)
         if number < version:
             changes = {t: self._changes(t, number) for t in KEY}
             changed = [c.select(F.lit(t).alias("catalog"), F.col(KEY[t]).alias("key"), "op", "content") for t, c in changes.items() if c is not None]
@@ -307,10 +308,10 @@ class Shelf:
         version, kept = self.version(), self._complete(self.path, "index-")
         path = self._in(f"index-{version}")
         if not kept or kept[-1][0] < version:
-            FullTextIndex.build(self._docs()).save(path)
+            FullTextIndex.build(self._docs(), segmenter=self.segmenter).save(path)
             for _, old in kept[:-1]:
                 self.files.delete(old)
-        self._index = version, FullTextIndex.load(self.spark, path)
+        self._index = version, FullTextIndex.load(self.spark, path, segmenter=self.segmenter)
         return self._index[1]
 
     def query(self, expression) -> DataFrame:

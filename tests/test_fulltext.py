@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphmill.errors import ParseError
+from graphmill.functions.segmentation import PAIRS, Dictionary
 from graphmill.functions.stemming import fold, porter
-from graphmill.operators.fulltext import FullTextIndex, parse_search, sanitise, segment, segment_text
+from graphmill.operators.fulltext import FullTextIndex, parse_search, sanitise
 
 WORDS = """running runs runner authenticate authentication authenticating relational conditional rationally valenci digitizer
 conformably radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness
@@ -62,13 +63,37 @@ def test_syntax_errors(bad):
 
 
 def test_ideographs(spark):
-    for text in ("南京市长江大桥 and 大", "no", "a中b", "中文，字"):
-        got = spark.createDataFrame([(text,)], "t string").select(segment(F.col("t"))).first()[0]
-        assert got.split() == segment_text(text).split()
+    words = Dictionary(["南京市", "南京", "长江", "大桥", "ab"])
+    for text in ("南京市长江大桥 and 大", "no", "a中b", "中文，字", ""):
+        for cut in (PAIRS, words):
+            got = spark.createDataFrame([(text,)], "t string").select(cut.column(F.col("t"))).first()[0]
+            assert got.split() == cut.text(text).split()
+    assert words.text("南京市长江大桥中x").split() == ["南京市", "长江", "大桥", "中", "x"]
     index = FullTextIndex.build(spark.createDataFrame([("knowledge", "k", '{"data":"南京市长江大桥","tags":[]}')], "catalog string, key string, content string"))
     assert index.search("南京").count() == 1 and index.search("长江大桥").count() == 1 and index.search("北京").count() == 0
 
 
+def test_a_segmenter_of_ones_own(spark, tmp_path):
+    words = Dictionary(["南京市", "长江", "大桥"])
+    docs = spark.createDataFrame([("knowledge", "k", '{"data":"南京市长江大桥","tags":[]}')], "catalog string, key string, content string")
+    for index in (FullTextIndex.build(docs, segmenter=words), FullTextIndex.build(docs, segmenter=words).save(str(tmp_path / "i"))):
+        assert index.search("长江大桥").count() == 1 and index.search("江大").count() == 0
+
+
+def test_frequent_words_are_spread(spark, tmp_path, monkeypatch):
+    from graphmill.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "HOT_POSTINGS", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would unite parts as small as these
+    docs = spark.range(60).selectExpr("'knowledge' AS catalog", "concat('k', id) AS key", """concat('{"tags":[],"data":"common ', if(id < 3, 'rare', 'x'), '"}') AS content""")
+    try:
+        index = FullTextIndex.build(docs).save(str(tmp_path / "i"), buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.search("common", limit=None).count() == 60 and index.search("common rare").count() == 3
+    assert index.postings.where("term = 'common'").select(F.input_file_name()).distinct().count() > 1
+
+
 def test_save_and_load(spark, corpus, tmp_path):
     index = corpus[2].save(str(tmp_path / "i"), buckets=4)
     assert index.search("running", limit=None).count() == corpus[2].search("running", limit=None).count()
