@@ -203,9 +203,9 @@ def _graph(vectors: DataFrame, n: int, list_size: int, sample: int) -> CentroidG
     return graph
 
 
-def probes_for(lists: int) -> int:
+def probes_for(lists: int, effort: float = 1.0) -> int:
     """Lists to probe for neighbours at any distance, of so many lists."""
-    return max(PROBE, round(PROBE_SHARE * lists**PROBE_POWER))
+    return max(PROBE, round(effort * PROBE_SHARE * lists**PROBE_POWER))
 
 
 ENTRY = "list int, part int, key string, vec binary, stored boolean, asks boolean"
@@ -303,6 +303,7 @@ def similar_vectors(
     sample: int = SAMPLE,
     store: int = STORE,
     probe: int | None = None,
+    effort: float = 1.0,
     store_ratio: float = STORE_RATIO,
     probe_ratio: float = PROBE_RATIO,
 ) -> DataFrame:
@@ -312,7 +313,7 @@ def similar_vectors(
     same direction have cosine 1 and rank before all others, the smaller key first.  Copies of a key
     count once.  Null and all-zero vectors take no part; vectors are compared with those of the same
     length.  An empty table gives no row.  Without ``probe`` the probes grow with the lists
-    (:func:`probes_for`).  Recall depends on the probes and is measured in the tests.
+    (:func:`probes_for`), by ``effort`` more or fewer.  Recall depends on the probes and is measured in the tests.
     """
     spark = df.sparkSession
     vectors = materialise(unit_vectors(df, key, vector), "vectors")
@@ -336,7 +337,7 @@ def similar_vectors(
     for size, n, n_asking, bytes_of_key in indexed.groupBy(F.length("vec")).agg(F.count(F.lit(1)), F.count_if("asks"), F.avg(F.length("key"))).collect():
         own = indexed.where(F.length("vec") == size)
         graph = _graph(own, n, list_size, sample)
-        probes = probe or probes_for(len(graph.centroids))
+        probes = probe or probes_for(len(graph.centroids), effort)
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil((n * store + n_asking * max(store, probes)) * (size + bytes_of_key + 24) / TASK_BYTES))
         shown = spark.sparkContext.broadcast(graph)
         entries = own.select("key", "vec", "asks").mapInPandas(_assign(shown, store, probes, store_ratio, probe_ratio), ENTRY)
