@@ -1,15 +1,18 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphmill.operators import graph
 from graphmill.operators import metrics as m
 from graphmill.operators.graph import k_hop
 from graphmill.plans.shards import running_totals
 
 
-@pytest.mark.parametrize("depth,predicate", [(1, None), (3, None), (3, "p"), (7, None)])
-def test_walk_matches_brute_force(spark, depth, predicate):
+@pytest.mark.parametrize("depth,predicate,few", [(1, None, 1000), (3, None, 1000), (3, "p", 1000), (7, None, 1000), (7, None, 2), (5, "q", 0)])
+def test_walk_matches_brute_force(spark, monkeypatch, depth, predicate, few):
+    monkeypatch.setattr(graph, "FEW", few)  # frontiers of more nodes are joined
     rnd = random.Random(depth)
     edges = sorted({(f"n{rnd.randrange(14)}", rnd.choice("pq"), f"n{rnd.randrange(14)}") for _ in range(24)})
     df = spark.createDataFrame([(",".join(e), *e) for e in edges], "triple string, subject string, predicate string, object string")
@@ -74,3 +77,14 @@ def test_types_sessions_samples(spark):
     once = m.sample_rows(spark.range(100), 7, "id").collect()
     assert len(once) == 7 and once == m.sample_rows(spark.range(100).repartition(5), 7, "id").collect()
     assert m.throughput(10, 2.0) == 5.0 and m.throughput(1, 0) == 0.0
+
+
+def test_medians_of_odd_and_even_numbers(spark):
+    rnd = random.Random(3)
+    rows = [(g, rnd.choice([1.0, 2.5, 9.0, rnd.random()])) for g, n in (("a", 31), ("b", 40), ("c", 1)) for _ in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for shard in (1000, 3):
+        got = {r["g"]: r for r in m.score_summary(df, ["g"], "v", shard).collect()}
+        for g in "abc":
+            vs = [v for h, v in rows if h == g and v is not None]
+            assert got[g]["median"] == pytest.approx(statistics.median(vs)) and got[g]["n"] == len(vs) and got[g]["mean"] == pytest.approx(statistics.mean(vs))
