@@ -13,6 +13,7 @@ from graphmill.plans.shards import running_totals
 @pytest.mark.parametrize("depth,predicate,few", [(1, None, 1000), (3, None, 1000), (3, "p", 1000), (7, None, 1000), (7, None, 2), (5, "q", 0)])
 def test_walk_matches_brute_force(spark, monkeypatch, depth, predicate, few):
     monkeypatch.setattr(graph, "FEW", few)  # frontiers of more nodes are joined
+    monkeypatch.setattr(graph, "HELD", max(few, 3))
     rnd = random.Random(depth)
     edges = sorted({(f"n{rnd.randrange(14)}", rnd.choice("pq"), f"n{rnd.randrange(14)}") for _ in range(24)})
     df = spark.createDataFrame([(",".join(e), *e) for e in edges], "triple string, subject string, predicate string, object string")
