@@ -84,16 +84,27 @@ def language(column: str):
     return F.try_element_at(table, start)
 
 
+def _prose(rows: DataFrame) -> DataFrame:
+    """``_id, _lang, _prose``: the words of each paragraph between spaces, a paragraph to a line."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines = ["\n".join(" ".join(words(p)) for p in prose(text)) for text in frame["_text"]]
+            yield pd.DataFrame({"_id": frame["_id"], "_lang": frame["_lang"], "_prose": lines})
+
+    return rows.select("_id", "_lang", "_text").mapInPandas(run, "_id long, _lang string, _prose string")
+
+
 def _word_documents(rows: DataFrame) -> DataFrame:
     """``lang, word, n``: in how many documents of a language a word of prose occurs; word null counts documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = {}
         for frame in frames:
-            for lang, text in zip(frame["_lang"], frame["_text"]):
+            for lang, text in zip(frame["_lang"], frame["_prose"]):
                 of = counts.setdefault(lang, Counter())
                 of[None] += 1
-                of.update({w for p in prose(text) for w in words(p)})
+                of.update(set(text.split()))
                 if len(of) > 500_000:
                     yield _rows(counts)
                     counts = {}
@@ -102,7 +113,7 @@ def _word_documents(rows: DataFrame) -> DataFrame:
     def _rows(counts: dict[str, Counter]) -> pd.DataFrame:
         return pd.DataFrame([(lang, w, n) for lang, of in counts.items() for w, n in of.items()], columns=["lang", "word", "n"])
 
-    partial = rows.where(F.col("_lang").isNotNull()).select("_lang", "_text").mapInPandas(run, "lang string, word string, n long")
+    partial = rows.where(F.col("_lang").isNotNull()).select("_lang", "_prose").mapInPandas(run, "lang string, word string, n long")
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -133,10 +144,10 @@ def _bags(rows: DataFrame, lang: str, odds: dict[str, float], model: list[str])
         odds, number = shared.value
         for frame in frames:
             out = []
-            for doc, said, text in zip(frame["_id"], frame["_lang"], frame["_text"]):
+            for doc, said, text in zip(frame["_id"], frame["_lang"], frame["_prose"]):
                 kept, score, n_own, n_all = Counter(), 0.0, 0, 0
-                for paragraph in prose(text):
-                    found = words(paragraph)
+                for paragraph in text.split("\n"):
+                    found = paragraph.split(" ") if paragraph else []
                     here = sum(odds.get(w, 0.0) for w in found)
                     score += here
                     n_all += len(found)
@@ -148,7 +159,7 @@ def _bags(rows: DataFrame, lang: str, odds: dict[str, float], model: list[str])
                 out.append((doc, lang if is_own else said, n_own if is_own else n_all, np.array([t for t, _ in terms], np.int32).tobytes() if is_own else b"", np.array([c for _, c in terms], np.int32).tobytes() if is_own else b""))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "n_words", "terms", "counts"])
 
-    return rows.select("_id", "_lang", "_text").mapInPandas(run, BAGS)
+    return rows.mapInPandas(run, BAGS)
 
 
 def _unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,6 +293,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang: str = "en", it
     the greatest other values, counts.  Tables may be empty.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("_id"), language("lang").alias("_lang"), F.col("text").alias("_text"))
+    rows = materialise(_prose(rows), "prose")  # cut once, read by the counts of words and by the bags
     odds, model = _vocabulary(rows, lang, min_share)
     bags = materialise(_bags(rows, lang, odds, model), "bags")
     ease, difficulty = fit(bags, model, iterations) if model else (np.zeros(0), np.zeros(0))
