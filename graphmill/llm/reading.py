@@ -92,7 +92,7 @@ def _prose(rows: DataFrame) -> DataFrame:
             lines = ["\n".join(" ".join(words(p)) for p in prose(text)) for text in frame["_text"]]
             yield pd.DataFrame({"_id": frame["_id"], "_lang": frame["_lang"], "_prose": lines})
 
-    return rows.select("_id", "_lang", "_text").mapInPandas(run, "_id long, _lang string, _prose string")
+    return rows.select("_id", "_lang", "_text").mapInPandas(run, "_id string, _lang string, _prose string")
 
 
 def _word_documents(rows: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _vocabulary(rows: DataFrame, lang: str, min_share: float) -> tuple[dict[str,
     return odds, model
 
 
-BAGS = "doc_id long, lang string, n_words long, terms binary, counts binary"
+BAGS = "doc_id string, lang string, n_words long, terms binary, counts binary"
 
 
 def _bags(rows: DataFrame, lang: str, odds: dict[str, float], model: list[str]) -> DataFrame:
@@ -292,7 +292,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang: str = "en", it
     of a document are averaged.  Of repeated identifiers the row with the most words of prose, then
     the greatest other values, counts.  Tables may be empty.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), language("lang").alias("_lang"), F.col("text").alias("_text"))
+    rows = documents.select(F.col("doc_id").cast("long").cast("string").alias("_id"), language("lang").alias("_lang"), F.col("text").alias("_text"))
     rows = materialise(_prose(rows), "prose")  # cut once, read by the counts of words and by the bags
     odds, model = _vocabulary(rows, lang, min_share)
     bags = materialise(_bags(rows, lang, odds, model), "bags")
@@ -309,7 +309,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, lang: str = "en", it
                     level = levels_of(difficulty, ease, terms, counts, doc, len(frame))
             yield frame[["doc_id", "lang", "n_words"]].assign(difficulty=level)
 
-    scored = bags.mapInPandas(run, "doc_id long, lang string, n_words long, difficulty double")
+    scored = bags.mapInPandas(run, "doc_id string, lang string, n_words long, difficulty double").withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = scored.withColumn("difficulty", F.when(~F.isnan("difficulty"), F.col("difficulty")))
     once = labels.where(F.col("reading_level").between(LEVELS[0], LEVELS[-1]) & F.col("doc_id").isNotNull()).groupBy("doc_id", "rater").agg(F.avg("reading_level").alias("l"))
     rated = once.groupBy("doc_id").agg(F.avg("l").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)

@@ -48,6 +48,13 @@ def test_odd_rows(spark):
     assert reading_levels(documents, labels.limit(0), min_share=0.01).count() == 46
 
 
+def test_large_identifiers_beside_null_ones(spark):
+    large = 2**60 + 1
+    rows = [(large, "cat dog sun " * 30, "en"), (None, "cat dog", "en")]
+    got = reading_levels(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), spark.createDataFrame([], LABELS), min_share=0.01)
+    assert {r["doc_id"] for r in got.collect()} == {large, None}
+
+
 def test_words_are_fitted():
     rng = np.random.default_rng(1)
     x = np.linspace(-2, 2, 21)
