@@ -103,13 +103,13 @@ class FullTextIndex:
         placed = postings.join(F.broadcast(hot), "term", "left").withColumn("part", F.pmod(F.hash("doc_id"), F.coalesce("parts", F.lit(1)))).withColumn("bucket", bucket)
         placed.repartition("bucket", "part").drop("part", "parts").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(os.path.join(path, "postings"))
         once.docs.write.parquet(os.path.join(path, "docs"))
-        once.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(path, mode="append")
+        once.stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(os.path.join(path, "stats"))
         return FullTextIndex.load(spark, path, self.stem, self.weights, self.segmenter)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stem: bool = True, weights: dict[str, float] | None = None, segmenter: Segmenter = PAIRS) -> FullTextIndex:
         """Open a saved index.  Its statistics are written last, so an index without them is not complete."""
-        stats = spark.read.schema("n_docs double, mean_tokens double, buckets int").option("recursiveFileLookup", False).parquet(os.path.join(path, "*.parquet"))
+        stats = spark.read.schema("n_docs double, mean_tokens double, buckets int").parquet(os.path.join(path, "stats"))
         schemas = {
             "postings": "term string, doc_id long, tokens long, column string, position int, bucket int",
             "docs": "doc_id long, catalog string, key string, content string, tokens long",

@@ -87,10 +87,10 @@ class Shelf:
     def _in(self, *parts: str) -> str:
         return "/".join([self.path, *parts])
 
-    def _complete(self, folder: str, prefix: str) -> list[tuple[int, str]]:
-        """(number, path) of the folders ``<prefix><number>`` whose writing has ended, the newest last."""
+    def _complete(self, folder: str, prefix: str, last: str = "") -> list[tuple[int, str]]:
+        """(number, path) of the folders ``<prefix><number>`` whose writing, of ``last`` in them, has ended, the newest last."""
         found = [(int(e.name.removeprefix(prefix)), e.path) for e in self.files.list(folder) if e.is_folder and e.name.startswith(prefix) and e.name.removeprefix(prefix).isdigit()]
-        return sorted((n, p) for n, p in found if self.files.exists(f"{p}/_SUCCESS"))
+        return sorted((n, p) for n, p in found if self.files.exists(f"{p}{last}/_SUCCESS"))
 
     def _bases(self, table: str) -> list[tuple[int, str]]:
         return self._complete(self._in(table), "base-")
@@ -264,7 +264,7 @@ class Shelf:
             kept = bases[-1][0] if bases else 0
             for number, path in [*bases[:-1], *[x for x in batches if x[0] <= kept]]:
                 self.files.delete(path)
-        if self._complete(self.path, "index-"):
+        if self._complete(self.path, "index-", "/stats"):
             self.rebuild_index()
 
     # queries
@@ -284,7 +284,7 @@ class Shelf:
         version = self.version()
         if self._index and self._index[0] == version:
             return self._index[1]
-        kept = self._complete(self.path, "index-")
+        kept = self._complete(self.path, "index-", "/stats")
         # Batches from before the last base but one are gone.
         known_since = max([0, *[self._bases(t)[-2][0] for t in KEY if len(self._bases(t)) > 1]])
         if not kept or kept[-1][0] < known_since:
@@ -305,7 +305,7 @@ class Shelf:
 
     def rebuild_index(self) -> FullTextIndex:
         """Write the search index of the current state to the shelf."""
-        version, kept = self.version(), self._complete(self.path, "index-")
+        version, kept = self.version(), self._complete(self.path, "index-", "/stats")
         path = self._in(f"index-{version}")
         if not kept or kept[-1][0] < version:
             FullTextIndex.build(self._docs(), segmenter=self.segmenter).save(path)
