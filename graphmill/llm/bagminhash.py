@@ -51,8 +51,8 @@ DEVIATIONS = 3.0
 TILE = 20_000
 #: Identifiers are broadcast up to this many (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Pairs compared at a time.
-_PAIRS = 1 << 19
+#: Pairs compared at a time; numbers worked on at a time, so that they stay in a core's cache; texts and bands whose keys are made at a time.
+_PAIRS, _BLOCK, _TEXTS, _STRIP = 1 << 19, 1 << 15, 2048, 16
 
 
 def _unit(seed: np.ndarray, node: int) -> np.ndarray:
@@ -64,68 +64,80 @@ def _unit(seed: np.ndarray, node: int) -> np.ndarray:
 
 def arrivals(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """First arrival below each element's weight, for every register: float32 [elements, registers]."""
-    out = np.empty((len(elements), registers), np.float32)
+    return _arrivals(elements, weights, registers).T
+
+
+def _arrivals(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
+    """The same by register: float32 [registers, elements]."""
+    out = np.empty((registers, len(elements)), np.float32)
     lanes = mix64(np.arange(1, registers + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     for w in np.unique(weights):
         at = np.flatnonzero(weights == w)
-        if w < 1:
-            out[at] = np.inf
-            continue
-        seed = mix64(elements[at].astype(np.uint64)[:, None] ^ lanes[None, :])
-        best = -np.log(_unit(seed, 1))  # level [0, 1), rate 1
-        octave = 0
-        while (1 << octave) < w:  # levels [2**octave, 2**(octave + 1)), rate 2**octave
-            low, width = 1 << octave, 1 << octave
-            first = -np.log(_unit(seed, 2 + octave)) / width
-            path = 2 + octave
-            while w < low + width:  # the weight ends inside: split the process
-                if w == low:
-                    first = np.full_like(first, np.inf)
-                    break
-                half = width // 2
-                path = path * 2 + 64
-                to_left = _unit(seed, path) < 0.5
-                other = first - np.log(_unit(seed, path + 1)) / half
-                left, right = np.where(to_left, first, other), np.where(to_left, other, first)
-                if w >= low + half:
-                    best = np.minimum(best, left)
-                    low, first, path = low + half, right, path + 1
-                else:
-                    first = left
-                width = half
-            best = np.minimum(best, first)
-            octave += 1
-        out[at] = best
+        own = elements[at].astype(np.uint64)
+        step = max(1, _BLOCK // len(at))
+        for a in range(0, registers, step):
+            out[a : a + step, at] = _earliest(mix64(lanes[a : a + step, None] ^ own[None, :]), int(w)) if w >= 1 else np.inf
     return out
 
 
+def _earliest(seed: np.ndarray, w: int) -> np.ndarray:
+    """First arrival below weight ``w`` of the processes of each seed."""
+    best = -np.log(_unit(seed, 1))  # level [0, 1), rate 1
+    octave = 0
+    while (1 << octave) < w:  # levels [2**octave, 2**(octave + 1)), rate 2**octave
+        low, width = 1 << octave, 1 << octave
+        first = -np.log(_unit(seed, 2 + octave)) / width
+        path = 2 + octave
+        while w < low + width:  # the weight ends inside: split the process
+            if w == low:
+                first = np.full_like(first, np.inf)
+                break
+            half = width // 2
+            path = path * 2 + 64
+            to_left = _unit(seed, path) < 0.5
+            other = first - np.log(_unit(seed, path + 1)) / half
+            left, right = np.where(to_left, first, other), np.where(to_left, other, first)
+            if w >= low + half:
+                best = np.minimum(best, left)
+                low, first, path = low + half, right, path + 1
+            else:
+                first = left
+            width = half
+        best = np.minimum(best, first)
+        octave += 1
+    return best
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """Signatures of (elements, weights) pairs, float32 [sets, registers]; no set may be empty."""
     return _signatures(sets, registers, 0)[0]
 
 
-def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, named: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the element that won each of the first ``named`` registers: uint32 [sets, named]."""
+def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, named: int, rarity: Rarity | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and of each of the first ``named`` registers the element that won it, or that element's ``rarity``: [sets, named]."""
     sizes = np.array([len(e) for e, _ in sets])
     pairs = np.concatenate([e.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64) for e, w in sets])
-    known, where = np.unique(pairs, return_inverse=True)
+    where, known = pd.factorize(pairs, sort=True)
     elements = (known >> np.uint64(32)).astype(np.uint32)
-    table = arrivals(elements, (known & np.uint64(0xFFFFFFFF)).astype(np.int64), registers)
     # Times are positive: as whole numbers they have the same order, with room below for the element's number.
-    both = table[:, :named].view(np.uint32).astype(np.uint64) << np.uint64(32) | np.arange(len(known), dtype=np.uint64)[:, None]
-    rest = np.ascontiguousarray(table[:, named:])
-    out, won = np.empty((len(sets), registers), np.float32), np.empty((len(sets), named), np.uint32)
+    table = _arrivals(elements, (known & np.uint64(0xFFFFFFFF)).astype(np.int64), registers).view(np.uint32)
+    numbers = np.arange(len(known), dtype=np.uint64)
+    marks = elements if rarity is None else rarity.bits_of(elements)
+    out, won = np.empty((registers, len(sets)), np.uint32), np.empty((named, len(sets)), marks.dtype)
     ends = np.cumsum(sizes)
-    for a in range(0, len(sets), 256):
-        b = min(a + 256, len(sets))
-        first = ends[a] - sizes[a]
-        rows, starts = where[first : ends[b - 1]], np.concatenate([[0], ends[a : b - 1] - first])
-        if named:
-            least = np.minimum.reduceat(both[rows], starts, axis=0)
-            out[a:b, :named] = (least >> np.uint64(32)).astype(np.uint32).view(np.float32)
-            won[a:b] = elements[(least & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        out[a:b, named:] = np.minimum.reduceat(rest[rows], starts, axis=0)
-    return out, won
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], _BLOCK), "right"))  # sets of about a block of words
+    parts = [(a, b, where[ends[a] - sizes[a] : ends[b - 1]], ends[a:b] - sizes[a:b] - (ends[a] - sizes[a])) for a, b in zip(cuts, [*cuts[1:], len(sets)])]
+    for r, times in enumerate(table):
+        if r < named:
+            both = times.astype(np.uint64) << np.uint64(32) | numbers
+            for a, b, rows, starts in parts:
+                least = np.minimum.reduceat(both.take(rows, mode="clip"), starts)
+                out[r, a:b] = least >> np.uint64(32)
+                won[r, a:b] = marks[(least & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        else:
+            for a, b, rows, starts in parts:
+                out[r, a:b] = np.minimum.reduceat(times.take(rows, mode="clip"), starts)
+    return out.view(np.float32).T, won.T
 
 
 def bits(signature: np.ndarray) -> np.ndarray:
@@ -161,20 +173,32 @@ def _paths(bands: int, depth: int, registers: int) -> np.ndarray:
 def band_keys(signature: np.ndarray, rarity: np.ndarray, texts: int, threshold: float, bucket: int = BUCKET, miss: float = MISS, depth: int = DEPTH, bands: int = BANDS) -> list[np.ndarray]:
     """The 63-bit keys of every text's bands: int64 arrays.  ``rarity`` belongs to the words that won the first registers."""
     n, registers = rarity.shape
-    values = signature[:, :registers].view(np.uint32).astype(np.uint64)
+    values, rarity = signature[:, :registers].T.view(np.uint32).astype(np.uint64), rarity.T
     path = _paths(bands, depth, registers)
     wanted = np.log(max(texts / bucket, 1.0 + 1e-9))
-    keys = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (n, bands)).copy()
-    found, deep = np.zeros((n, bands), np.float32), np.zeros((n, bands), np.int64)
-    for step in range(depth):
-        more = found < wanted
-        keys = np.where(more, mix64(keys ^ values[:, path[:, step]]), keys)
-        found += np.where(more, rarity[:, path[:, step]], 0)
-        deep += more
+    seeds = mix64(np.arange(1, bands + 1, dtype=np.uint64))
+    out, used = np.empty((n, bands), np.int64), np.zeros(n, np.int64)
     # Missed by all bands before this one; the band is needed while that is above what may be missed.
-    missed = np.cumprod(1 - np.minimum(threshold ** deep.astype(np.float64), 1 - 1e-12), axis=1)
-    used = 1 + (missed[:, :-1] > miss).sum(1)
-    return [k[:u] for k, u in zip((keys >> np.uint64(1)).astype(np.int64), used)]
+    left, missed = np.arange(n), np.ones(n)
+    for first in range(0, bands, _STRIP):
+        taken = path[first : first + _STRIP]
+        keys = np.repeat(seeds[first : first + _STRIP, None], len(left), 1)
+        found, deep = np.zeros(keys.shape, np.float32), np.zeros(keys.shape, np.int64)
+        for step in range(depth):
+            more = found < wanted
+            if not more.any():
+                break
+            cells = np.ix_(taken[:, step], left)
+            keys = np.where(more, mix64(keys ^ values[cells]), keys)
+            found += np.where(more, rarity[cells], 0)
+            deep += more
+        after = np.cumprod(np.concatenate([missed[None], 1 - np.minimum(threshold ** deep.astype(np.float64), 1 - 1e-12)]), axis=0)
+        out[left, first : first + len(keys)] = (keys >> np.uint64(1)).astype(np.int64).T
+        used[left] += (after[:-1] > miss).sum(0)
+        left, missed = left[after[-1] > miss], after[-1][after[-1] > miss]
+        if not len(left):
+            break
+    return [k[:u] for k, u in zip(out, used)]
 
 
 SETS = "id string, class long, n long, total long, elements binary, weights binary"
@@ -250,9 +274,11 @@ def _signed(sets: DataFrame, rarity: Broadcast, threshold: float) -> DataFrame:
             if not len(frame):
                 continue
             unpacked = [(np.frombuffer(e, np.uint32), np.frombuffer(w, np.uint32)) for e, w in zip(frame["elements"], frame["weights"])]
-            signature, won = _signatures(unpacked, REGISTERS, BAND_REGISTERS)
-            bands = [k for a in range(0, len(frame), 2048) for k in band_keys(signature[a : a + 2048], known.bits_of(won[a : a + 2048]), known.texts, threshold)]
-            yield pd.DataFrame({"class": frame["class"].to_numpy(), "total": frame["total"].to_numpy(), "sketch": [x.tobytes() for x in bits(signature)], "bands": bands})
+            signature, rarities = _signatures(unpacked, REGISTERS, BAND_REGISTERS, known)
+            parts = [slice(a, a + _TEXTS) for a in range(0, len(frame), _TEXTS)]
+            bands = [k for p in parts for k in band_keys(signature[p], rarities[p], known.texts, threshold)]
+            sketch = [x.tobytes() for p in parts for x in bits(signature[p])]
+            yield pd.DataFrame({"class": frame["class"].to_numpy(), "total": frame["total"].to_numpy(), "sketch": sketch, "bands": bands})
 
     return sets.select("class", "total", "elements", "weights").mapInPandas(run, "class long, total long, sketch binary, bands array<long>")
 

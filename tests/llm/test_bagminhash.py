@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 from graphmill.llm import bagminhash as b
 from graphmill.llm.queries import p2_near_duplicates
-from graphmill.llm.words import words
+from graphmill.llm.words import mix64, words
 
 NAMES = "name string, content string, class string, id long, key double"
 
@@ -81,6 +82,38 @@ def test_bands_are_deeper_for_frequent_words():
     assert all((x == y).all() for x, y in zip(again, keys[3:5]))
 
 
+def test_bands_that_no_text_needs_are_not_made(monkeypatch):
+    rng = np.random.default_rng(5)
+    e = [np.sort(rng.choice(2**32, 60, replace=False).astype(np.uint32)) for _ in range(200)]
+    signature, won = b._signatures([(x, np.ones(60, np.uint32)) for x in e], b.REGISTERS, b.BAND_REGISTERS)
+    known = b.Rarity(150_000, np.empty(0, np.uint32), np.empty(0, np.int64))
+    mixed = []
+    monkeypatch.setattr(b, "mix64", lambda x: mixed.append(x.size) or mix64(x))
+    keys = b.band_keys(signature, known.bits_of(won), known.texts, 0.6)
+    assert max(map(len, keys)) < 32 and sum(mixed) < 200 * 32 * 3  # two registers a band; all 128 bands take 128 * 8
+
+
+def test_signatures_are_made_in_little_memory():
+    """The least arrival of each register and the word it belongs to, with no table of texts times words times registers."""
+    rng = np.random.default_rng(8)
+    vocabulary = rng.choice(2**32, 3000, replace=False).astype(np.uint32)
+    e = [np.sort(rng.choice(vocabulary, k, replace=False)) for k in [80] * 1500 + [1, 2, 3000]]
+    sets = [(x, np.ones(len(x), np.uint32)) for x in e]
+    tracemalloc.start()
+    try:
+        signature, won = b._signatures(sets, b.REGISTERS, b.BAND_REGISTERS)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16e6  # 3 MB of arrivals, 3 MB of results, a block of each step
+    known = b.Rarity(1500, np.sort(vocabulary), np.arange(1, 3001))
+    again, rarity = b._signatures(sets, b.REGISTERS, b.BAND_REGISTERS, known)
+    assert np.array_equal(signature, again) and np.array_equal(rarity, known.bits_of(won))
+    for at in (0, 700, -3, -2, -1):
+        times = b.arrivals(e[at], np.ones(len(e[at]), np.int64))
+        assert np.array_equal(signature[at], times.min(0)) and np.array_equal(won[at], e[at][times.argmin(0)[: b.BAND_REGISTERS]])
+
+
 def test_compared_pairs_do_not_grow_with_the_table():
     """Texts that share only frequent words: partners of a text in its buckets, at two sizes."""
     rng = np.random.default_rng(6)
